@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidelog.llm import idstore, mixing, sharding, tokens
+from tidelog.llm import decontaminate, idstore, mixing, sharding, simhash, sketches, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.query,
+    "op2_decontamination": decontaminate.query,
+    "op3_simhash": simhash.query,
     "op4_sharding": sharding.query,
     "op6_id_store": idstore.query,
+    "op7_sketches": sketches.query,
     "op9_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
