@@ -104,7 +104,8 @@ def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int
         end = s["at"] + s["len"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["hit"] + F.greatest(end - F.greatest(s["at"], acc["end"]), F.lit(0))).alias("hit"))
 
-    found = found.withColumn("n_hit", F.aggregate("spans", start, add, lambda acc: acc["hit"]).cast("long"))
+    # Both the counts and the items come from here; the texts are scanned once.
+    found = common.written(found, "contamination").withColumn("n_hit", F.aggregate("spans", start, add, lambda acc: acc["hit"]).cast("long"))
     ids = each.select(F.xxhash64("len", "words").alias("window"), F.col("item_id").cast("string").alias("item"))
     of = found.where("n_hit > 0").select("doc_id", "text_hash", F.explode("windows").alias("window"))
     of = of.join(F.broadcast(ids) if n_windows <= BROADCAST_WINDOWS else ids, "window").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))

@@ -158,6 +158,15 @@ def classes(docs: DataFrame, *, text: str = "text", size: int = SHINGLE, radius:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, *, size: int = 5) -> DataFrame:
+    """`docs` with one document of each component: the row of its smallest doc_id; of rows that repeat, one stays."""
+    found = classes(docs, size=size)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    gone = common.written(gone, "copies")
+    kept = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return kept.dropDuplicates(["doc_id"])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = classes(docs)

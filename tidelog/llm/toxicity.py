@@ -32,11 +32,15 @@ from pyspark.sql.window import Window
 
 from tidelog.llm import common
 
-WINDOW, STRIDE, LEVEL = 6, 3, 3
+WINDOW, STRIDE, LEVEL = 4, 2, 3
+#: Follows each window, so that a short one isn't stored raw by both compressors, which would hide their difference.
+PAD = b" " * 64
 #: Bytes of the ordinary dictionary, and at most of the toxic words after it.
-ORDINARY_BYTES, TOXIC_BYTES = 60_000, 16_000
+ORDINARY_BYTES, TOXIC_BYTES = 30_000, 16_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-STEEP = 5
+STEEP = 4
+#: Label 1 weighs as if it were this share of the calibration's rows, whatever the sample holds.
+PRIOR = 1 / 3
 N_FEATURES = 5
 
 
@@ -69,7 +73,7 @@ class Scorer:
         first = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
         last = np.minimum(first + WINDOW, len(words)) - 1
         o, t = self.ordinary, self.toxic
-        d = np.fromiter((len(o(w := run[a : b + 1])) - len(t(w)) for a, b in zip(begins[first].tolist(), ends[last].tolist(), strict=True)), np.float64, len(first))
+        d = np.fromiter((len(o(w := run[a : b + 1] + PAD)) - len(t(w)) for a, b in zip(begins[first].tolist(), ends[last].tolist(), strict=True)), np.float64, len(first))
         top = np.sort(d)[-3:]
         return np.array([d.max(), d.mean(), top.mean(), (d >= STEEP).mean(), np.log1p(len(d))])
 
@@ -125,13 +129,15 @@ def dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
 
 def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic weights, the intercept first, by Newton steps on standardised features."""
+    share = y.mean()
+    weight = np.where(y == 1, PRIOR / share, (1 - PRIOR) / (1 - share))
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     w, keep = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
     keep[0, 0] = 1e-3
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + keep, z.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + keep, z.T @ (weight * (y - p)) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
