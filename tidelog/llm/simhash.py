@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 from tidelog.llm.components import components
+from tidelog.llm.idstore import mixed
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Largest bucket that one task compares by itself.
@@ -78,26 +79,28 @@ def masks(radius: int = RADIUS, seed: int = 1) -> list[int]:
 
 
 def _forest(block: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join all of a bucket's fingerprints which links within the radius join."""
-    left, out = np.arange(1, len(block)), []
-    reach = [0]
-    while True:
-        if not reach:
-            if not len(left):
-                return out
-            reach, left = [int(left[0])], left[1:]
-        at = reach.pop()
-        near = np.bitwise_count(block[left] ^ block[at]) <= radius
-        for k in left[near]:
-            out.append((int(block[at].view(np.int64)), int(block[k].view(np.int64))))
-            reach.append(int(k))
-        left = left[~near]
+    """Links that join all of a bucket's fingerprints which links within the radius join, the closest ones (Prim)."""
+    out, left = [], np.arange(1, len(block))
+    near = np.bitwise_count(block[1:] ^ block[0])
+    parent = np.zeros(len(left), np.int64)
+    while len(left):
+        k = int(near.argmin())
+        at = left[k]
+        if near[k] <= radius:
+            out.append((int(block[parent[k]].view(np.int64)), int(block[at].view(np.int64))))
+        left, near, parent = np.delete(left, k), np.delete(near, k), np.delete(parent, k)
+        new = np.bitwise_count(block[left] ^ block[at])
+        closer = new < near
+        near, parent = np.where(closer, new, near), np.where(closer, at, parent)
+    return out
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(a, b): links among distinct `fp` within the radius, enough to join each component."""
     family = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(masks(radius))])
-    keyed = prints.select("fp", F.explode(family).alias("t")).select("fp", F.xxhash64("t.k", F.col("fp").bitwiseAND(F.col("t.m"))).alias("bucket"))
+    kind = [F.col("kind")] if "kind" in prints.columns else []  # fingerprints of different kinds don't meet
+    keyed = prints.select("fp", *kind, F.explode(family).alias("t"))
+    keyed = keyed.select("fp", F.xxhash64(*kind, "t.k", F.col("fp").bitwiseAND(F.col("t.m"))).alias("bucket"))
     counted = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     counted = common.written(counted, "buckets")
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
@@ -158,13 +161,83 @@ def classes(docs: DataFrame, *, text: str = "text", size: int = SHINGLE, radius:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, *, size: int = 5) -> DataFrame:
-    """`docs` with one document of each component: the row of its smallest doc_id; of rows that repeat, one stays."""
-    found = classes(docs, size=size)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+def word_fingerprints(text: bytes, seeds: int) -> np.ndarray:
+    """Fingerprints of the set of a text's words, one for each seed. Texts that share four of five 5-word shingles share nearly all words."""
+    from xxhash import xxh64_intdigest
+
+    words = set(text.lower().split())
+    out = np.zeros(seeds, np.uint64)
+    if not words:
+        return out
+    base = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    for k in range(seeds):
+        h = mixed(base, k) if k else base
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            part = h[at : at + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5, seeds: int = 3, radius: int = RADIUS, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node) of each row and (node, root) of each node that has near copies.
+
+    A node is a distinct text, named by its smallest doc_id. Candidates come from `seeds` independent fingerprints of
+    each text's words, by covering hashing as above; at this radius about 0.83 of pairs at the similarity meet in one
+    of them and 0.99 in any. Each candidate is then checked exactly by the resemblance of `size`-word shingles.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [word_fingerprints(t or b"", seeds).view(np.int64).tolist() for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "text_key", "fps"])
+
+    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_key")
+    rows = common.written(docs.select("doc_id", key, "text").mapInArrow(run, "doc_id long, text_key string, fps array<long>"), "word-prints")
+    nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min("fps").alias("fps")).where("node is not null")
+    nodes = common.written(nodes, "texts")
+    prints = nodes.select("node", F.posexplode_outer("fps").alias("kind", "fp"))
+    named = prints.groupBy("kind", "fp").agg(F.min("node").alias("head"))
+    found = common.written(links(named.select("kind", "fp"), radius, block), "print-links")
+    heads = named.groupBy("fp").agg(F.min("head").alias("head"))
+    a = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+    pairs = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = prints.join(named, ["kind", "fp"]).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    pairs = pairs.unionByName(same).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = common.checkpointed(pairs)
+
+    # The shingles of texts that have a candidate at all.
+    asked = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    texts = docs.join(asked.withColumnRenamed("node", "__n"), F.col("doc_id") == F.col("__n"), "left_semi").select("doc_id", "text")
+    texts = texts.withColumn("w", F.split(common.lower_ascii(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))), " ")).withColumn("n", F.size("w"))
+    at = F.sequence(F.lit(0), F.greatest(F.col("n") - size, F.lit(0)))
+    texts = texts.withColumn("at", at).select("doc_id", F.transform("at", _shingle(size)).alias("s"))
+    texts = common.written(texts.select(F.col("doc_id").alias("node"), F.array_distinct("s").alias("s")).dropDuplicates(["node"]), "shingles")
+    both = pairs.join(texts.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(texts.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    true = both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return rows.join(nodes.select("text_key", "node"), "text_key").select("doc_id", "text_key", "node"), components(common.checkpointed(true))
+
+
+def _shingle(size: int):
+    return lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(size)])
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """`docs` with one document of each group of exact and near copies: the row of its smallest doc_id.
+
+    Of rows that repeat with their doc_id, one stays. Rows without a doc_id stay unless a row with one has their text.
+    """
+    rows, roots = near_copies(docs)
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    gone = rows.where(F.col("doc_id") != F.col("root")).select("doc_id").distinct()
     gone = common.written(gone, "copies")
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    kept = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    repeats = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    return kept.dropDuplicates(["doc_id"]) if repeats.take(1) else kept
 
 
 def query(spark, sf_dir: str) -> DataFrame:
