@@ -52,3 +52,22 @@ def ingested(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     run = source.writeStream.foreachBatch(append).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{path}/delta").drop("epoch")
+
+
+def stream_into(store, source: DataFrame, progress: str):
+    """A streaming query that puts each micro-batch of (key, doc) rows into a store; rows without a doc delete.
+
+    A batch is put before its progress is noted, so after a failure it may be put again: as newer versions with the
+    same values, which reads don't tell apart.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch = batch.select("key", F.col("doc").cast("binary").alias("doc")).persist()
+        puts, deletes = batch.where("doc is not null"), batch.where("doc is null").select("key")
+        if puts.take(1):
+            store.put_batch(puts)
+        if deletes.take(1):
+            store.delete_batch(deletes)
+        batch.unpersist()
+
+    return source.writeStream.foreachBatch(put).option("checkpointLocation", progress)
