@@ -1,7 +1,7 @@
 """Shards by balanced label propagation.
 
 Documents with equal texts are linked through their group. Each starts in a shard of its hash; in every round documents
-move to the shard where most of their group is, as far as that shard's quota lets them in, largest groups first. Rounds
+move to the shard where most of their group is, among those with room for it, as far as that shard's quota lets them in, largest first. Rounds
 end when nothing moves, or after `rounds`. Documents without links, and those above a shard's quota, then fill what is
 left of the quotas, so counts differ by one at most (law `rows`) and only groups that meet a full shard are cut.
 
@@ -27,11 +27,14 @@ def propagated(blocks: DataFrame, n_shards: int, quota: list[int], rounds: int)
     """
     cut = common.checkpointed(blocks.withColumn("dst", F.col("src")))
     for _ in range(rounds):
-        # Where most of the group is; the lower shard if two have as many.
+        # Where most of the group is, among shards with room for the rest of it if there are any; then the lower shard.
+        load = {r["dst"]: r["n"] for r in cut.groupBy("dst").agg(F.sum("n").alias("n")).collect()}  # a row a shard
+        rooms = F.array(*[F.lit(max(0, quota[i] - load.get(i, 0))).cast("long") for i in range(n_shards)])
         here = cut.groupBy("grp", "dst").agg(F.sum("n").alias("w"))
-        goal = here.groupBy("grp").agg(F.max_by(F.col("dst"), F.struct("w", -F.col("dst"))).alias("goal"), F.max("w").alias("gain"))
+        here = here.join(here.groupBy("grp").agg(F.sum("w").alias("of")), "grp")
+        rank = F.struct((F.col("of") - F.col("w") <= F.get(rooms, F.col("dst"))).alias("fits"), "w", -F.col("dst"))
+        goal = here.groupBy("grp").agg(F.max_by(F.struct(F.col("dst").alias("goal"), F.col("w").alias("gain")), rank).alias("g")).select("grp", "g.*")
         movers = cut.join(goal, "grp").withColumn("moves", F.col("dst") != F.col("goal"))
-        load = {r["dst"]: r["n"] for r in cut.groupBy("dst").agg(F.sum("n").alias("n")).collect()}  # a row a shard
         asked = {(r["goal"], r["k"]): r["n"] for r in movers.where("moves").groupBy("goal", F.floor(F.log2("gain")).alias("k")).agg(F.sum("n").alias("n")).collect()}
         if not asked:
             break
