@@ -3,7 +3,8 @@
 Every source has a weight; targets share the corpus's words by weight, and no target may exceed `max_epochs` times its
 source's words. A source above that is clamped there and its excess goes to the others by weight, until none is above:
 target = min(cap, level * weight) for one level. Whole repetitions of a source are taken in full; the fraction that is
-left is filled with whole documents in a seeded order, up to and including the one that comes nearest the target.
+left is filled with whole documents in a seeded order while they fit, and then with the one document among the rest
+whose size comes nearest to the gap, if that makes it smaller.
 
 Results: null text has size 0; a null source is a source of its own, after all others; a repeated row is a document of
 its own; documents without words are taken 0 words; an empty table gives an empty result. Sources with equal text are
@@ -60,26 +61,46 @@ def sized(docs: DataFrame, *, seed: int = 9) -> DataFrame:
     return docs.withColumn("__bucket", (F.shiftright("__order", 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))).cast("int"))
 
 
-def mix(docs: DataFrame, *, max_epochs: int = 3) -> DataFrame:
-    """sized() documents with size, source_size, target and `repeats`, how often the mix takes each document."""
-    parts = docs.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("n"))
+def mix(docs: DataFrame, *, max_epochs: int = 3, slim: DataFrame | None = None) -> DataFrame:
+    """sized() documents with size, source_size, target and `repeats`, how often the mix takes each document.
+
+    slim: the same rows without texts, as a table; it is written if it isn't given, so that texts are read once more only.
+    """
+    if slim is None:
+        slim = common.written(docs.select("doc_id", "__source", "__size", "__order", "__bucket"), "sizes")
+    parts = slim.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("n"))
     parts = common.checkpointed(parts)
     place = Window.orderBy(F.col("source").asc_nulls_last())
     sizes = parts.groupBy("source").agg(F.sum("n").alias("source_size")).withColumn("weight", ((F.row_number().over(place) - 1) % 3 + 1).cast("long"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("p")
     plan = starts.join(targets(sizes, max_epochs).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    plan = common.checkpointed(plan.select(F.col("p.source").alias("__s"), F.col("bucket").alias("__b"), "start", "source_size", "target"))
-    within = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("__before", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    joined = placed.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
-    left = F.col("target") - whole * F.col("source_size")
-    # The document on the border is taken if more than half of it lies below the border.
-    middle = F.col("start") + F.col("__before") + F.col("__size") / 2
-    repeats = (whole + F.when((F.col("__size") > 0) & (middle < left), 1).otherwise(0)).cast("long")
+    plan = plan.select(F.col("p.source").alias("__s"), F.col("bucket").alias("__b"), "start", "source_size", "target", whole.alias("__whole"))
+    plan = common.checkpointed(plan.withColumn("__left", F.col("target") - F.col("__whole") * F.col("source_size")))
+    # All documents that end below what is left, in the seeded order; then the one that fits the gap best.
+    table = _placed(slim, plan)
+    below = F.when(F.col("__end") <= F.col("__left"), F.col("__end"))
+    gaps = table.groupBy("__s").agg(F.max("__left").alias("l"), F.coalesce(F.max(below), F.lit(0)).alias("e")).select("__s", (F.col("l") - F.col("e")).alias("__gap"))
+    gaps = common.checkpointed(gaps)
+    out = table.where((F.col("__end") > F.col("__left")) & (F.col("__size") > 0)).join(F.broadcast(gaps.withColumnRenamed("__s", "__g")), F.col("__s").eqNullSafe(F.col("__g")))
+    off = F.abs(F.col("__size") - F.col("__gap"))
+    out = out.where(off < F.col("__gap"))  # else the gap is smaller without it
+    best = out.groupBy("__s").agg(F.min_by(F.struct("__order", "doc_id", "__end"), F.struct(off.alias("off"), "__order", "doc_id", "__end")).alias("b"))
+    best = common.checkpointed(best.select(F.col("__s").alias("__g"), F.col("b.__order").alias("__fo"), F.col("b.doc_id").alias("__fd"), F.col("b.__end").alias("__fe")))  # a row a source
+    final = _placed(docs, plan).join(F.broadcast(best), F.col("__s").eqNullSafe(F.col("__g")), "left")
+    fits = (F.col("__order") == F.col("__fo")) & F.col("doc_id").eqNullSafe(F.col("__fd")) & (F.col("__end") == F.col("__fe"))
+    extra = (F.col("__size") > 0) & ((F.col("__end") <= F.col("__left")) | F.coalesce(fits, F.lit(False)))
     kept = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")]
-    return joined.select(*kept, F.col("__size").alias("size"), "source_size", "target", repeats.alias("repeats"))
+    return final.select(*kept, F.col("__size").alias("size"), "source_size", "target", (F.col("__whole") + extra.cast("long")).cast("long").alias("repeats"))
+
+
+def _placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """`docs` with their source's plan and __end, the words of their source up to and including them in the seeded order."""
+    within = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = docs.withColumn("__upto", F.sum("__size").over(within))
+    joined = placed.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    return joined.withColumn("__end", F.col("start") + F.col("__upto"))
 
 
 def resampled(docs: DataFrame, *, max_epochs: int = 3, seed: int = 9) -> DataFrame:
@@ -92,5 +113,5 @@ def resampled(docs: DataFrame, *, max_epochs: int = 3, seed: int = 9) -> DataFra
 def query(spark, sf_dir: str) -> DataFrame:
     # Sizes and hashes are written once; the texts are read once.
     docs = common.written(sized(common.table(spark, sf_dir, "documents")).select("doc_id", "__source", "__size", "__order", "__bucket"), "sizes")
-    mixed = mix(docs)
+    mixed = mix(docs, slim=docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
