@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from tidelog.llm import common
 
@@ -107,9 +106,8 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = 256, ridge: float = 1e-2
 def sample(docs: DataFrame, train: Column, per_language: int) -> list[tuple[str, bytes]]:
     """Up to `per_language` labelled rows of each language, as packed presence: 4 KiB a row whatever the text's length."""
     labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    ids = common.checkpointed(ids)
+    ids = common.first_by_hash(labelled.select("doc_id", "lang"), "lang", per_language)
+    ids = common.checkpointed(ids.select("doc_id", "lang").distinct())
     chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "doc_id")  # per_language rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

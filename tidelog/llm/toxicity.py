@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
 from tidelog.llm import common
 
@@ -88,8 +87,7 @@ class Scorer:
 def labelled(docs: DataFrame, labels: DataFrame, train: Column, per_class: int) -> DataFrame:
     """doc_id, toxic, part and text of the sampled rows; part 2 of 0, 1, 2 is for the calibration."""
     known = labels.where(F.col("toxic").isin(0, 1)).where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("r", rank).where(F.col("r") <= per_class)
+    ids = common.first_by_hash(common.checkpointed(known), "toxic", per_class)
     ids = common.checkpointed(ids.select("doc_id", "toxic", (F.col("r") % 3).alias("part")))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 x per_class rows
 
