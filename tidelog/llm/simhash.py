@@ -32,6 +32,8 @@ from tidelog.llm.idstore import mixed
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Largest bucket that one task compares by itself.
 BLOCK = 512
+#: Buckets of three and more, 16 bytes each, that are broadcast to find their members; beyond it both sides are shuffled.
+BROADCAST_BUCKETS = 500_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -106,8 +108,10 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
     pairs = counted.where("n = 2").where(close(F.col("a"), F.col("b"))).select("a", "b").distinct()
 
-    several = counted.where("n > 2")
-    members = keyed.join(several.select("bucket", "n"), "bucket")
+    several = counted.where("n > 2").select("bucket", "n")
+    if several.count() <= BROADCAST_BUCKETS:
+        several = F.broadcast(several)
+    members = keyed.join(several, "bucket")
     members = common.written(members, "members")
     small = members.where(F.col("n") <= block).repartition("bucket").sortWithinPartitions("bucket")
 
@@ -237,7 +241,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = common.written(gone, "copies")
     kept = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti")
     repeats = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return kept.dropDuplicates(["doc_id"]) if repeats.take(1) else kept
+    if not repeats.take(1):
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
