@@ -21,6 +21,8 @@ from tidelog.llm import common
 
 #: A source's seeded order is cut in 2 ** BUCKET_BITS buckets, so that one source's rows are summed by many tasks.
 BUCKET_BITS = 10
+#: Rows of the plan, one for each source and bucket of about 60 bytes, that are broadcast; beyond it it is joined by shuffle.
+BROADCAST_ROWS = 300_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,6 +80,8 @@ def mix(docs: DataFrame, *, max_epochs: int = 3, slim: DataFrame | None = None)
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     plan = plan.select(F.col("p.source").alias("__s"), F.col("bucket").alias("__b"), "start", "source_size", "target", whole.alias("__whole"))
     plan = common.checkpointed(plan.withColumn("__left", F.col("target") - F.col("__whole") * F.col("source_size")))
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
     # All documents that end below what is left, in the seeded order; then the one that fits the gap best.
     table = _placed(slim, plan)
     below = F.when(F.col("__end") <= F.col("__left"), F.col("__end"))
