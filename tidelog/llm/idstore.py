@@ -273,7 +273,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, key:
         fs, root = _store(path)
         fs.create_dir(root, recursive=True)
         own = f"{root}/{shard:06d}.attempt{task.taskAttemptId()}"
-        keys, lengths = [], []
+        keys, lengths, last, run_at = [], [], None, 0
         with fs.open_output_stream(f"{own}.ids") as out:
             while first is not None:
                 ids, at = work.encode(first.column(1))
@@ -283,49 +283,50 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, key:
                 inside[at[1:] - 1] = False
                 whole[inside] = ids
                 out.write(whole.tobytes())
-                keys.append(first.column(0).fill_null(-(2**63)).to_numpy())
+                own_keys = first.column(0).fill_null(-(2**63)).to_numpy()
+                keys.append(own_keys)
                 lengths.append(np.diff(at))
-                yield pa.RecordBatch.from_arrays([first.column(0), pa.array(np.full(first.num_rows, shard, np.int32)), pa.array(lengths[-1])], names=["key", "shard", "n"])
+                # Which of the documents with the same key it is; they are adjacent, if need be across batches.
+                fresh = np.append(last is None or own_keys[0] != last, own_keys[1:] != own_keys[:-1])
+                place = np.arange(len(own_keys))
+                since = np.maximum.accumulate(np.where(fresh, place, 0))
+                copy = place - since + np.where(np.cumsum(fresh) == 0, run_at, 0)
+                last, run_at = own_keys[-1], int(copy[-1]) + 1
+                yield pa.RecordBatch.from_arrays([first.column(0), pa.array(np.full(first.num_rows, shard, np.int32)), pa.array(copy), pa.array(lengths[-1])], names=["key", "shard", "copy", "n"])
                 first = next((b for b in batches if b.num_rows), None)
         with fs.open_output_stream(f"{own}.idx") as out:
             out.write(Index.build(np.concatenate(keys), np.concatenate(lengths)).to_bytes())
         for kind in ("ids", "idx"):
             fs.move(f"{own}.{kind}", f"{root}/{shard:06d}.{kind}")
 
-    slim.mapInArrow(run, "key long, shard int, n long").write.parquet(f"{path}/keys")
+    slim.mapInArrow(run, "key long, shard int, copy long, n long").write.parquet(f"{path}/keys")
 
 
 def read_store(spark: SparkSession, path: str, width: int) -> DataFrame:
     """key, shard, start, n_tokens and ids_crc32 of each document, by keyed access to the files of the store."""
-    keys = spark.read.schema("key long, shard int, n long").parquet(f"{path}/keys")
+    keys = spark.read.schema("key long, shard int, copy long, n long").parquet(f"{path}/keys")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     starts = keys.groupBy("shard").agg(F.sum("n").alias("total")).select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     # Rows stay where their shard's file of keys put them: each task reads the shards that it meets.
-    asked = keys.select("key", "shard").join(F.broadcast(starts), "shard").select("key", "shard", "base")
+    asked = keys.join(F.broadcast(starts), "shard").select("key", "shard", "base", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(path)
-        at, index, ids, seen = -1, None, None, {}
+        at, index, ids = -1, None, None
         for b in batches:
-            shards, bases = b.column(1).to_numpy(), b.column(2).to_numpy()
+            shards, bases, copies = (b.column(k).to_numpy() for k in (1, 2, 3))
             keys = b.column(0).fill_null(-(2**63)).to_numpy()
             start, n, crc = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for shard in np.unique(shards):
                 if shard != at:
                     with fs.open_input_stream(f"{root}/{shard:06d}.idx") as f:
                         index = Index.from_bytes(f.read())
-                    ids, at, seen = fs.open_input_file(f"{root}/{shard:06d}.ids"), shard, {}
-                for i in np.flatnonzero(shards == shard):
-                    k = int(keys[i])
-                    seen.setdefault(k, 0)
+                    ids, at = fs.open_input_file(f"{root}/{shard:06d}.ids"), shard
                 rows = np.flatnonzero(shards == shard)
                 place = index.find(keys[rows])
                 if (place < 0).any():
                     raise KeyError(f"shard {shard} lacks a key of its list")
-                for i, p in zip(rows, place, strict=True):
-                    k = int(keys[i])
-                    p += seen[k]  # documents that share a key come one by one
-                    seen[k] += 1
+                for i, p in zip(rows, (place + copies[rows]).tolist(), strict=True):
                     begin, end = int(index.ends[p - 1]) if p else 0, int(index.ends[p])
                     raw = np.frombuffer(ids.read_at((end - begin) * width, begin * width), f"<u{width}")
                     start[i], n[i], crc[i] = bases[i] + begin, end - begin, zlib.crc32(raw.astype("<u4").tobytes())
