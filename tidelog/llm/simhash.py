@@ -18,6 +18,7 @@ are one shingle. Repeated rows are kept. The component of a null doc_id's row is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm import common
+from tidelog.llm import common, decontaminate
 from tidelog.llm.components import components
 from tidelog.llm.idstore import mixed
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Largest bucket that one task compares by itself.
 BLOCK = 512
 #: Buckets of three and more, 16 bytes each, that are broadcast to find their members; beyond it both sides are shuffled.
@@ -166,10 +168,14 @@ def classes(docs: DataFrame, *, text: str = "text", size: int = SHINGLE, radius:
 
 
 def word_fingerprints(text: bytes, seeds: int) -> np.ndarray:
-    """Fingerprints of the set of a text's words, one for each seed. Texts that share four of five 5-word shingles share nearly all words."""
+    """Fingerprints of the set of a text's words, one for each seed. Texts that share four of five 5-word shingles share nearly all words.
+
+    Words are those of near_copies(): without punctuation, or cut at white space where there are none.
+    """
     from xxhash import xxh64_intdigest
 
-    words = set(text.lower().split())
+    low = text.lower()
+    words = set(WORD.findall(low)) or set(low.split())
     out = np.zeros(seeds, np.uint64)
     if not words:
         return out
@@ -189,7 +195,8 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5, seed
 
     A node is a distinct text, named by its smallest doc_id. Candidates come from `seeds` independent fingerprints of
     each text's words, by covering hashing as above; at this radius about 0.83 of pairs at the similarity meet in one
-    of them and 0.99 in any. Each candidate is then checked exactly by the resemblance of `size`-word shingles.
+    of them and 0.99 in any. Each candidate is then checked exactly by the resemblance of `size`-word shingles. Words
+    are lower-cased (A-Z) and without punctuation; a text without any is cut at white space.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -216,7 +223,8 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5, seed
     # The shingles of texts that have a candidate at all.
     asked = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
     texts = docs.join(asked.withColumnRenamed("node", "__n"), F.col("doc_id") == F.col("__n"), "left_semi").select("doc_id", "text")
-    texts = texts.withColumn("w", F.split(common.lower_ascii(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))), " ")).withColumn("n", F.size("w"))
+    texts = texts.withColumn("w", decontaminate.words(F.col("text"))).withColumn("text", F.coalesce("text", F.lit("")))
+    texts = texts.withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.split("text", r"[\x20\x09-\x0D]+"))).withColumn("n", F.size("w"))
     at = F.sequence(F.lit(0), F.greatest(F.col("n") - size, F.lit(0)))
     texts = texts.withColumn("at", at).select("doc_id", F.transform("at", _shingle(size)).alias("s"))
     texts = common.written(texts.select(F.col("doc_id").alias("node"), F.array_distinct("s").alias("s")).dropDuplicates(["node"]), "shingles")
