@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.errors import NoRecords
-from tidelog.operators.read import positions
+from tidelog.operators.read import positions, small
 
 
 def index_every_records(log: DataFrame, every: int, blob: str = "blob") -> DataFrame:
@@ -43,7 +43,7 @@ def lookup(index: DataFrame, keys: DataFrame, blob: str = "blob") -> DataFrame:
     key below a segment's first entry has no range there.
     """
     asked = keys.select(F.col("key").alias("asked")).distinct()
-    each = index.join(F.broadcast(asked))
+    each = index.join(small(asked))
     below, above = F.col("key") < F.col("asked"), F.col("key") > F.col("asked")
     ranges = each.groupBy(blob, "asked").agg(
         F.min("key").alias("least"), F.min("offset").alias("begin"), F.max(F.when(below, F.col("offset"))).alias("b"), F.min(F.when(above, F.col("offset"))).alias("a")
@@ -60,8 +60,8 @@ def filter_keys(log: DataFrame, blob: str = "blob") -> DataFrame:
 def filter_skips(log: DataFrame, meta: DataFrame, keys: DataFrame, blob: str = "blob") -> DataFrame:
     """(blob, key) pairs whose key lies in the segment's range, but not in the segment."""
     asked = keys.select("key").distinct()
-    inside = meta.join(F.broadcast(asked), F.col("key").between(F.col("min_key"), F.col("max_key"))).select(blob, "key")
-    held = filter_keys(log.join(F.broadcast(asked), "key", "left_semi"), blob)
+    inside = asked.join(small(meta), F.col("key").between(F.col("min_key"), F.col("max_key"))).select(blob, "key")
+    held = filter_keys(log.join(asked, "key", "left_semi"), blob)
     return inside.join(held, [blob, "key"], "left_anti")
 
 

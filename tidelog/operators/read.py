@@ -19,6 +19,15 @@ def recency(log: DataFrame, first: Sequence[str] = ()) -> Column:
     return F.struct(*first, "ts", *[c for c in TIES if c in log.columns])
 
 
+#: Rows that are broadcast at most where nothing else bounds a side.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, to be broadcast if a count finds it small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def newest(log: DataFrame, first: Sequence[str] = ()) -> DataFrame:
     """One row a key, its newest version. `first`: columns that rank above time.
 
@@ -86,17 +95,17 @@ def get_stats(log: DataFrame, keys: DataFrame, every: int = 8) -> DataFrame:
     """key, blobs_fetched, blobs_skipped, records_scanned of a point read that visits each segment whose key range holds the key.
 
     A segment without the key is skipped by its filter. In the others reading begins at the last index entry below the
-    key, and ends at the key's first record. Index and key are small sides; records are only placed and aggregated.
+    key and ends at the key's first record. All records before that one are below the key, so its place tells which
+    entry that is. Only zone maps, one row a segment, are broadcast.
     """
     placed = positions(log)
     asked = keys.select("key").distinct()
     zone = log.groupBy("blob").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    candidate = zone.join(F.broadcast(asked), F.col("key").between(F.col("lo"), F.col("hi"))).select("blob", "key")
-    first = placed.join(F.broadcast(asked), "key").groupBy("blob", "key").agg(F.min("rn").alias("at"))
-    entry = placed.where((F.col("rn") - 1) % every == 0).select("blob", F.col("key").alias("entry"), "rn")
-    used = entry.join(F.broadcast(asked), F.col("entry") < F.col("key")).groupBy("blob", "key").agg(F.max("rn").alias("from"))
-    each = candidate.join(first, ["blob", "key"], "left").join(used, ["blob", "key"], "left")
-    scanned = F.when(F.col("at").isNotNull(), F.col("at") - F.coalesce("from", F.lit(1)) + 1)
+    candidate = asked.join(small(zone), F.col("key").between(F.col("lo"), F.col("hi"))).select("blob", "key")
+    first = placed.join(asked, "key", "left_semi").groupBy("blob", "key").agg(F.min("rn").alias("at"))
+    each = candidate.join(first, ["blob", "key"], "left")
+    entry = F.when(F.col("at") > 1, F.floor((F.col("at") - 2) / every) * every + 1).otherwise(1)
+    scanned = F.when(F.col("at").isNotNull(), F.col("at") - entry + 1)
     return each.groupBy("key").agg(
         F.count("at").alias("blobs_fetched"),
         (F.count("*") - F.count("at")).alias("blobs_skipped"),
