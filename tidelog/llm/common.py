@@ -72,8 +72,9 @@ def first_by_hash(df: DataFrame, group: str, most: int) -> DataFrame:
 
     Groups are counted first, so that only about twice as many rows as asked for are ranked, however many tasks read.
     """
-    counts = df.groupBy(group).agg(F.count("*").alias("__c"))  # a row a group
-    near = df.join(F.broadcast(counts), group).withColumn("__u", F.xxhash64("doc_id"))
+    counts = checkpointed(df.groupBy(group).agg(F.count("*").alias("__c")))
+    few = counts.count() <= 100_000  # a row a group
+    near = df.join(F.broadcast(counts) if few else counts, group).withColumn("__u", F.xxhash64("doc_id"))
     near = near.where(F.col("__u") / float(1 << 64) + 0.5 <= 2.0 * most / F.col("__c"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("__u", "doc_id"))
     return near.withColumn("r", rank).where(F.col("r") <= most).drop("__c", "__u")

@@ -68,7 +68,7 @@ def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int
     for k in lengths:
         pick = F.when(F.col("len") == k, window_hash(F.col("h"), F.lit(0), size=k)).otherwise(pick)
     by_hash = common.checkpointed(by_hash.withColumn("hash", pick).select("hash", "len", "words", "window"))
-    n_windows = by_hash.count()
+    n_windows = each.count()  # with one row for each item that has the window
 
     plain = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     cut = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))

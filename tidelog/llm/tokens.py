@@ -277,7 +277,7 @@ class Counter:
     def counts(self, column: pa.Array) -> np.ndarray:
         batch = pieces.Batch(column)
         symbols = self.classes.of(batch.cps)
-        # An END before each document and over each special string; `place` keeps what the symbols stand for.
+        # An END goes over each special string, and before each document.
         skip = np.zeros(len(symbols), bool)
         extra = np.zeros(len(column), np.int64)
         cut = np.zeros(len(symbols) + 1, bool)
