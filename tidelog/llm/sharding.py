@@ -20,6 +20,14 @@ from pyspark.sql.window import Window
 from tidelog.llm import common
 
 
+#: Groups, or blocks of them, of about 100 bytes each that are broadcast; beyond it they are joined by shuffle.
+BROADCAST_GROUPS = 200_000
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
 def propagated(blocks: DataFrame, n_shards: int, quota: list[int], rounds: int) -> DataFrame:
     """group, src, n -> group, src, dst, n: how many of the group's documents that began in src end in dst.
 
@@ -79,13 +87,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, *, rounds: int = 8, text
     buckets = common.buckets_for(total)
     base = slim.withColumn("src", F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(n_shards)).cast("int"))
     linked = base.groupBy("grp", "src").agg(F.count("*").alias("n"))
-    several = linked.groupBy("grp").agg(F.sum("n").alias("of")).where("of > 1").drop("of")
+    # A hot group's documents stay where they are: the few groups go to them.
+    several = _hinted(common.checkpointed(linked.groupBy("grp").agg(F.sum("n").alias("of")).where("of > 1").drop("of")))
     moves = propagated(linked.join(several, "grp"), n_shards, quota, rounds)
 
     # Deal each block's documents to where the block went: the i-th of a (group, src) takes the span that holds i.
     spans = Window.partitionBy("grp", "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
     moves = moves.withColumn("from", F.coalesce(F.sum("n").over(spans), F.lit(0))).withColumn("to", F.col("from") + F.col("n"))
     moves = common.checkpointed(moves.groupBy("grp", "src").agg(F.sort_array(F.collect_list(F.struct("from", "to", "dst"))).alias("spans")))  # at most one a shard
+    moves = _hinted(moves)
     spread = F.abs(F.hash("doc_id").cast("long"))
     members = common.with_slots(base.join(moves.select("grp", "src"), ["grp", "src"], "left_semi"), ["grp", "src"], [F.col("doc_id")], spread, buckets, "i")
     fits = F.filter("spans", lambda s: (s["from"] <= F.col("i")) & (F.col("i") < s["to"]))
