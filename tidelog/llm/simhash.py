@@ -18,24 +18,33 @@ are one shingle. Repeated rows are kept. The component of a null doc_id's row is
 
 from __future__ import annotations
 
+import math
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm import common, decontaminate
+from tidelog.llm import common
 from tidelog.llm.components import components
 from tidelog.llm.idstore import mixed
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 #: Largest bucket that one task compares by itself.
 BLOCK = 512
 #: Buckets of three and more, 16 bytes each, that are broadcast to find their members; beyond it both sides are shuffled.
 BROADCAST_BUCKETS = 500_000
+#: One of so many texts is asked which shingles are frequent, FREQUENT of which are known at most. Only the work depends on it.
+SAMPLED, FREQUENT = 16, 500_000
+#: Turns in which a node is compared with one other before all pairs of different components are.
+TURNS = 3
+#: Rows of texts' keys, 80 bytes each at most, that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -167,75 +176,155 @@ def classes(docs: DataFrame, *, text: str = "text", size: int = SHINGLE, radius:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_fingerprints(text: bytes, seeds: int) -> np.ndarray:
-    """Fingerprints of the set of a text's words, one for each seed. Texts that share four of five 5-word shingles share nearly all words.
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct hashes, ascending, of a text's `size`-word shingles; a shorter text is one shingle.
 
-    Words are those of near_copies(): without punctuation, or cut at white space where there are none.
+    Words are lower-cased (A-Z) and without punctuation; a text without any is cut at white space.
     """
     from xxhash import xxh64_intdigest
 
-    low = text.lower()
-    words = set(WORD.findall(low)) or set(low.split())
-    out = np.zeros(seeds, np.uint64)
-    if not words:
-        return out
-    base = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    for k in range(seeds):
-        h = mixed(base, k) if k else base
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            part = h[at : at + (1 << 16)]
-            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+    words = WORD.findall(text.lower()) or BLANK.split(text)
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    k = min(size, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = mixed(out ^ h[i : i + len(out)], i)
+    return np.unique(out)
+
+
+def _node(shingles: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
+
 
+def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
+    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
-def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5, seeds: int = 3, radius: int = RADIUS, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+
+def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles that many texts have, by a sample of the distinct texts: the most frequent ones, FREQUENT at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, size) for t in _texts(b, 0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct()
+    counts = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= 4)
+    counts = common.written(counts, "frequent")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().collect(), key=lambda r: -r["c"]):
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["c"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(np.array([r["h"] for r in counts.where(F.col("c") >= least).select("h").collect()], np.int64).view(np.uint64))
+
+
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, node) of each row and (node, root) of each node that has near copies.
 
-    A node is a distinct text, named by its smallest doc_id. Candidates come from `seeds` independent fingerprints of
-    each text's words, by covering hashing as above; at this radius about 0.83 of pairs at the similarity meet in one
-    of them and 0.99 in any. Each candidate is then checked exactly by the resemblance of `size`-word shingles. Words
-    are lower-cased (A-Z) and without punctuation; a text without any is cut at white space.
+    A node is a distinct set of `size`-word shingles, named by a hash. Two nodes are linked if their sets' resemblance
+    is `similarity` or more, and a root is the smallest node of a component of those links. No link that joins two
+    components is missed. In any one order of all shingles, two such sets share one among each one's first
+    n - ceil(similarity * n) + 1, n being its size (the prefix filter), and the first that they share leaves enough
+    after it in both to reach the similarity. The order is that of the hashes, with frequent shingles last, so that
+    the shingles of a common passage hardly ever meet.
+
+    Of the nodes that meet in a shingle one is the hub, another in each of TURNS turns, and each node is compared with
+    the hub that it meets most, which joins large groups of copies. After that only pairs of different components are
+    left, and all of those are compared that share enough of their prefixes: what two sets share beyond the prefix that
+    ends first is less than ceil(similarity * n).
     """
     spark = docs.sparkSession
     common.small_batches(spark)
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = frequent.value
         for b in batches:
-            got = [word_fingerprints(t or b"", seeds).view(np.int64).tolist() for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "text_key", "fps"])
+            nodes, sizes, prefixes = [], [], []
+            for t in _texts(b, 2):
+                s = shingle_set(t, size)
+                nodes.append(_node(s))
+                sizes.append(len(s))
+                if len(late):
+                    last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                    s = np.append(s[~last], s[last])
+                prefixes.append(s[: sizes[-1] - math.ceil(similarity * sizes[-1] - 1e-9) + 1].view(np.int64))
+            uids = np.frombuffer(os.urandom(8 * len(nodes)), np.int64)
+            arrays = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(uids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "uid", "n", "prefix"])
 
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_key")
-    rows = common.written(docs.select("doc_id", key, "text").mapInArrow(run, "doc_id long, text_key string, fps array<long>"), "word-prints")
-    nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min("fps").alias("fps")).where("node is not null")
-    nodes = common.written(nodes, "texts")
-    prints = nodes.select("node", F.posexplode_outer("fps").alias("kind", "fp"))
-    named = prints.groupBy("kind", "fp").agg(F.min("node").alias("head"))
-    found = common.written(links(named.select("kind", "fp"), radius, block), "print-links")
-    heads = named.groupBy("fp").agg(F.min("head").alias("head"))
-    a = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
-    pairs = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    same = prints.join(named, ["kind", "fp"]).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
-    pairs = pairs.unionByName(same).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = common.checkpointed(pairs)
-
-    # The shingles of texts that have a candidate at all.
-    asked = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    texts = docs.join(asked.withColumnRenamed("node", "__n"), F.col("doc_id") == F.col("__n"), "left_semi").select("doc_id", "text")
-    texts = texts.withColumn("w", decontaminate.words(F.col("text"))).withColumn("text", F.coalesce("text", F.lit("")))
-    texts = texts.withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.split("text", r"[\x20\x09-\x0D]+"))).withColumn("n", F.size("w"))
-    at = F.sequence(F.lit(0), F.greatest(F.col("n") - size, F.lit(0)))
-    texts = texts.withColumn("at", at).select("doc_id", F.transform("at", _shingle(size)).alias("s"))
-    texts = common.written(texts.select(F.col("doc_id").alias("node"), F.array_distinct("s").alias("s")).dropDuplicates(["node"]), "shingles")
-    both = pairs.join(texts.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(texts.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    true = both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return rows.join(nodes.select("text_key", "node"), "text_key").select("doc_id", "text_key", "node"), components(common.checkpointed(true))
-
-
-def _shingle(size: int):
-    return lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(size)])
+    rows = docs.select("doc_id", key, "text").mapInArrow(run, "doc_id long, text_key string, node long, uid long, n int, prefix array<long>")
+    rows = common.written(rows, "prefixes")
+    # All rows of a node but one are left out; there are few, so prefixes needn't move for it.
+    again = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("uid").alias("uid")).where("c > 1").select("node", F.col("uid").alias("own"))
+    extra = common.checkpointed(rows.select("node", "uid").join(again, "node").where("uid <> own").select("node", "uid"))
+    extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
+    each = rows.join(extra, ["node", "uid"], "left_anti").select("node", "n", F.posexplode("prefix").alias("at", "h")).repartition("h")
+    # Both sides read one exchange, as both need all columns.
+    shared = each.groupBy("h").agg(F.count("*").alias("c"), F.max(F.struct("node", "n", "at")).alias("m")).where("c > 1").select("h")
+    members = common.written(each.join(shared, "h"), "members")
+
+    def met(a: DataFrame) -> DataFrame:
+        """(x, y, c) of rows x, y, nx, ny, ax, ay, one for each of c shared shingles of the prefixes, that can reach the similarity."""
+        need = similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-6
+        after = 1 + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
+        counted = a.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max(after).alias("after"))
+        beyond = F.ceil(similarity * F.greatest("nx", "ny") - 1e-9) - 1  # shared shingles beyond the prefix that ends first
+        return counted.where((F.col("after") >= need) & (F.col("c") + beyond >= need)).select("x", "y", "c")
+
+    roots = spark.createDataFrame([], "node long, root long")
+    true = tried = spark.createDataFrame([], "a long, b long")
+    for turn in range(TURNS + 1):
+        named = members.select("h", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("h")
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "at", "root")).alias("hub")
+        hubs = named.groupBy("h").agg(hub, F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h", "hub")
+        members = common.written(named.join(hubs, "h"), "members-left")
+        if turn < TURNS:
+            star = members.where("root <> hub.root").selectExpr("hub.node x", "node y", "hub.n nx", "n ny", "hub.at ax", "at ay")
+            pairs = met(star).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
+        else:
+            both = members.alias("x").join(members.alias("y"), "h").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+            pairs = met(both.selectExpr("x.node x", "y.node y", "x.n nx", "y.n ny", "x.at ax", "y.at ay"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = common.checkpointed(pairs)
+        if not pairs.take(1):
+            continue  # the next turn has other hubs, the last one all pairs
+        found = common.checkpointed(_resembling(docs, rows, pairs, similarity, size))
+        tried = tried.unionByName(pairs)
+        if found.take(1):
+            true = true.unionByName(found)
+            roots = common.checkpointed(components(true))
+    return rows.select("doc_id", "text_key", "node"), roots
+
+
+def _resembling(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(a, b): the pairs of nodes whose whole shingle sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, size) for t in _texts(b, 0)]
+            arrays = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "s"])
+
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    one = F.min(F.struct("text_key", F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("one")
+    keys = common.checkpointed(rows.join(asked, "node", "left_semi").groupBy("node").agg(one).select(F.col("one.text_key").alias("__key"), F.col("one.id").alias("__id")))
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    texts = docs.select("text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__key"), F.coalesce("doc_id", F.lit(0)).alias("__id"))
+    sets = common.written(texts.join(keys, ["__key", "__id"], "left_semi").select("text").mapInArrow(run, "node long, s array<long>"), "shingles")
+    if sets.groupBy("node").count().where("count > 1").take(1):  # rows that repeat
+        sets = sets.dropDuplicates(["node"])
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sx")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sy")), "b")
+    same = F.size(F.array_intersect("sx", "sy"))
+    return both.where(same >= similarity * (F.size("sx") + F.size("sy") - same)).select("a", "b")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -245,7 +334,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     rows, roots = near_copies(docs)
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    gone = rows.where(F.col("doc_id") != F.col("root")).select("doc_id").distinct()
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = rows.join(least, "root").where(F.col("doc_id") != F.col("least")).select("doc_id").distinct()
     gone = common.written(gone, "copies")
     kept = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti")
     repeats = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
