@@ -71,3 +71,18 @@ def test_common_passages_and_chains(spark, monkeypatch):
         link = edited(rng, link, 2, lambda j: f"link{k}x{j}")
         rows.append((200 - k, link))
     assert kept(spark, rows) == brute_force(rows)
+
+
+def planted(n, length):
+    """Pairs of a text and a copy with scattered words replaced by new ones, at a resemblance of 0.8 or just above."""
+    rng, rows = random.Random(8), []
+    words = [f"p{i}" for i in range(2000)]
+    for g in range(n):
+        base = " ".join(rng.choice(words) for _ in range(length))
+        rows += [(2 * g + 1, base), (2 * g + 2, edited(rng, base, (length - 4) // 45, lambda k, g=g: f"new{g}x{k}"))]
+    return rows
+
+
+def test_planted_new_words(spark):
+    rows = planted(75, 300) + [(i + 1000, t) for i, t in planted(75, 600)]
+    assert kept(spark, rows) == brute_force(rows)
