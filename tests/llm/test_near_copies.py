@@ -86,3 +86,13 @@ def planted(n, length):
 def test_planted_new_words(spark):
     rows = planted(75, 300) + [(i + 1000, t) for i, t in planted(75, 600)]
     assert kept(spark, rows) == brute_force(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    """A doc_id with two texts loses only the one that is a copy; rows without an id go as copies, too."""
+    rng = random.Random(7)
+    a, b, c, d = (plain.sentence(rng, 80) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, a + " end"), (None, c), (None, c), (6, d), (6, d + " end")]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.deduplicated(plain.frame(spark, rows)).collect())
+    assert got[:3] == sorted([(0, c), (1, a), (5, b)])
+    assert len(got) == 4 and got[3] in ((6, d), (6, d + " end"))

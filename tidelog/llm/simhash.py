@@ -328,20 +328,23 @@ def _resembling(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group of exact and near copies: the row of its smallest doc_id.
+    """`docs` with one document of each group of exact and near copies: that of its smallest doc_id.
 
-    Of rows that repeat with their doc_id, one stays. Rows without a doc_id stay unless a row with one has their text.
+    A document is a doc_id with a text: where a doc_id repeats with other texts, each is judged by itself, and of rows
+    that repeat with both, one stays. A row without a doc_id stays only where no row of its group has one, and then one.
     """
     rows, roots = near_copies(docs)
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = rows.join(least, "root").where(F.col("doc_id") != F.col("least")).select("doc_id").distinct()
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    gone = rows.join(best, "root").where(~same).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone")).distinct()
     gone = common.written(gone, "copies")
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti")
-    repeats = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if not repeats.take(1):
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    if rows.groupBy("doc_id", "text_key").count().where("count > 1").take(1):
+        kept = kept.dropDuplicates(["doc_id", "__key"])
+    return kept.drop("__key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
