@@ -30,9 +30,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; tests without one get a local folder."""
+    """The folder that driver and executors share; a session on one machine without one gets a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -67,17 +69,18 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def first_by_hash(df: DataFrame, group: str, most: int) -> DataFrame:
-    """Up to `most` rows of each group, those with the smallest hashes of doc_id, with `r`, their place from 1.
+def thinned(df: DataFrame, group: str, most: int, key: Column) -> DataFrame:
+    """About `most` rows of each group, all of a smaller one: those whose hash of `key` is low, each key once.
 
-    Groups are counted first, so that only about twice as many rows as asked for are ranked, however many tasks read.
+    Only counts, a row a group, are gathered; no group is ranked or brought together. Where `most` asks for a part of a
+    group, what comes is binomial around it, so bounds that follow from it hold but for a few standard deviations.
     """
-    counts = checkpointed(df.groupBy(group).agg(F.count("*").alias("__c")))
+    keyed = df.withColumn("__u", F.xxhash64(F.lit("sample"), key))
+    counts = checkpointed(keyed.groupBy(group).agg(F.approx_count_distinct("__u").alias("__c")))
     few = counts.count() <= 100_000  # a row a group
-    near = df.join(F.broadcast(counts) if few else counts, group).withColumn("__u", F.xxhash64("doc_id"))
-    near = near.where(F.col("__u") / float(1 << 64) + 0.5 <= 2.0 * most / F.col("__c"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("__u", "doc_id"))
-    return near.withColumn("r", rank).where(F.col("r") <= most).drop("__c", "__u")
+    near = keyed.join(F.broadcast(counts) if few else counts, group)
+    near = near.where(F.col("__u") / float(1 << 64) + 0.5 <= most / F.col("__c")).drop("__c")
+    return near.dropDuplicates([group, "__u"]).drop("__u")  # of the sample only
 
 
 def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 64, most: int = 65_536) -> int:

@@ -7,8 +7,8 @@ approximate the kernel, and a ridge regression is fitted on these, one language
 regression are linear in the kernel values, and these in a text's presence vector, scores of a batch are one matrix
 product: presence (documents x places) by weights (places x languages).
 
-Sample: the first `per_language` labelled rows of each language in order of a hash, at most; nothing else is bounded.
-Texts are read whole, in training and in scoring.
+Sample: about `per_language` labelled rows of each language by a hash, fewer where many languages would make that more
+than `in_all` rows; nothing else is bounded. Texts are read whole, in training and in scoring. Repeated rows train once.
 
 Results: a text that is null or has no letter is `und` with score 0. Ties go to the language that sorts first. Rows
 that repeat are kept. Without labelled rows everything is `und`. Rows without a language never train.
@@ -82,33 +82,41 @@ class Model:
         return names, scores
 
 
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    """Presence vectors of length one."""
+    x = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 def fit(rows: list[tuple[str, bytes]], landmarks: int = 256, ridge: float = 1e-2) -> Model:
-    """rows: language and presence as packed bits."""
+    """rows: language and presence as packed bits; they are unpacked a block at a time."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return Model([], np.zeros((1 << DIM_BITS, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    x = np.unpackbits(np.frombuffer(b"".join(p for _, p in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     y = np.array([[1.0 if lang == m else -1.0 for m in languages] for lang, _ in rows])
     # Landmarks: every so many rows of those ordered by language, so that each language has its share.
     order = np.argsort([lang for lang, _ in rows], kind="stable")
-    marks = x[order[np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int)]]
+    at = order[np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int)]
+    marks = _unpacked([rows[i][1] for i in at])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # kernel values against landmarks -> Nystroem vectors
-    z = (x @ marks.T).astype(np.float64) @ root
+    blocks = (rows[k : k + 128] for k in range(0, len(rows), 128))
+    z = np.vstack([(_unpacked([p for _, p in part]) @ marks.T).astype(np.float64) for part in blocks]) @ root
     mean, target = z.mean(0), y.mean(0)
     zc = z - mean
     w = np.linalg.solve(zc.T @ zc + ridge * len(rows) * np.eye(z.shape[1]) / z.shape[1], zc.T @ (y - target))
     return Model(languages, (marks.T @ (root @ w)).astype(np.float32), (target - mean @ w).astype(np.float32), 4.0)
 
 
-def sample(docs: DataFrame, train: Column, per_language: int) -> list[tuple[str, bytes]]:
-    """Up to `per_language` labelled rows of each language, as packed presence: 4 KiB a row whatever the text's length."""
-    labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = common.first_by_hash(labelled.select("doc_id", "lang"), "lang", per_language)
-    ids = common.checkpointed(ids.select("doc_id", "lang").distinct())
-    chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "doc_id")  # per_language rows a language
+def sample(docs: DataFrame, train: Column, per_language: int, in_all: int) -> list[tuple[str, bytes]]:
+    """About `per_language` labelled rows of each language, as packed presence: 4 KiB a row whatever the text's length.
+
+    Where there are so many languages that this would be more than `in_all` rows, each language gives fewer, 4 at least.
+    """
+    labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
+    n = labelled.select("lang").distinct().count()
+    chosen = common.thinned(labelled, "lang", max(4, min(per_language, in_all // max(1, n))), F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,15 +125,15 @@ def sample(docs: DataFrame, train: Column, per_language: int) -> list[tuple[str,
                 bits = np.zeros(1 << DIM_BITS, bool)
                 bits[presence(t)] = True
                 packed.append(np.packbits(bits).tobytes() if has_letter(t) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2)], names=["lang", "bits", "doc_id"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["lang", "bits"])
 
-    rows = chosen.mapInArrow(run, "lang string, bits binary, doc_id long").where("bits is not null").collect()
-    return [(r["lang"], bytes(r["bits"])) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"]))]
+    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, bits binary").where("bits is not null").collect()
+    return sorted((r["lang"], bytes(r["bits"])) for r in rows)
 
 
-def trained(docs: DataFrame, *, per_language: int = 300) -> Model:
+def trained(docs: DataFrame, *, per_language: int = 300, in_all: int = 6000) -> Model:
     common.small_batches(docs.sparkSession)
-    return fit(sample(docs, common.id_remainder(F.col("doc_id"), 4) != 2, per_language))
+    return fit(sample(docs, common.id_remainder(F.col("doc_id"), 4) != 2, per_language, in_all))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
