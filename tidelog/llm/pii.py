@@ -1,22 +1,25 @@
-"""Personal data: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
+"""Personal data and secrets: labelers propose and judge spans, expectation-maximisation weighs them, a classifier decides.
 
-Base spans (email, ip, card, phone) follow fixed patterns and always stay. Beside them the same scan finds near misses:
-emails with a spelled-out at or dot, phones without a plus, card-like numbers. On every candidate these labelers vote
-yes, no or nothing:
+Base spans (email, ip, card, phone) follow fixed patterns and always stay. Beside them labelers propose spans of their own
+(PROPOSALS), and each labeler votes yes, no or nothing on every candidate, whoever proposed it:
 
-* regex: the strict pattern and its checks hold;
-* gazetteer: the email's last label, the card's issuer prefix, the phone's area code or the address block is a known one;
-* context: words like "mail" or "card" stand before it (yes), or it is glued to an identifier, a key or a fraction (no);
-* shape: digits are grouped as people write them.
+* regex: the strict pattern and its checks hold (base kinds), or the value has a fixed token format (secret). It proposes
+  the base matches, those too that fail their check;
+* gazetteer: the email's last label, the card's issuer prefix, the phone's area code, the address block or the credential's
+  prefix is a known one. It proposes spelled-out emails that end in a known label, and tokens with a known prefix;
+* context: words like "mail", "card" or "password" stand before it (yes), or it is glued to an identifier, a key or a
+  path (no). It proposes what follows a credential's name and a sign, and numbers after words for a phone;
+* shape: characters are grouped or mixed as in such data. It proposes phones without a plus and opaque runs of letters and
+  digits.
 
 Candidates are counted by kind and votes, over the whole corpus; only these counts (a few hundred at most) reach the
-driver. There EM estimates how often each labeler is right, with the regex labeler as anchor, and a logistic classifier
-is trained on the votes with EM's posteriors as soft labels. A near miss becomes a span if the classifier is at least
-`threshold` sure. All work on texts is done with DataFrame functions.
+driver. There EM estimates how often each labeler is right, starting from what most labelers say, and a logistic
+classifier is trained on the votes with EM's posteriors as soft labels. A proposal becomes a span if the classifier is at
+least `threshold` sure. All work on texts is done with DataFrame functions.
 
 Results: null text counts as empty and has no spans. Positions are code points, ends exclusive. Spans of different kinds
 may overlap, those of one kind don't; an added span never overlaps a base span. Rows that repeat are kept. Without any
-candidate nothing is learnt or added.
+candidate nothing is learnt or added. A password is a secret: the kind after the listed ones.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 # Possessive forms match the same texts as the plain ones here but never go back: what follows a run isn't in its class.
 # A match may begin where the last one ended or where the character before can't be part of it.
 BASE = {
@@ -40,20 +43,40 @@ BASE = {
 }
 #: What a text must hold for the pattern to be tried.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Near misses. Where a kind has none here, base matches that fail their check are candidates.
-NEAR = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]{1,63}){1,8}",
-    "phone": r"(?<![0-9+.-])(?<!\+[0-9]\x20)(?<!\+[0-9][0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
-}
-NEAR_NEEDS = {"email": r"[(\[{]at[)\]}]", "phone": r"[0-9]{3}[.-][0-9]{4}"}
 # Gazetteers: fixed values.
 TLDS = "com org net edu gov mil int info biz io de fr es uk it nl eu us ca".split()
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|30[0-5])"
+#: How issued credentials begin.
+PREFIXES = r"(?:AKIA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100}|xox[abprs]-[A-Za-z0-9-]{10,100}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_.-]{10,2000})"
+PLACEHOLDERS = r"(?i)^(?:change-?me|example\w*|your\w*|none|null|true|false|undefined|required|password|secret|token|x+|\*+)$"
+CREDENTIAL = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 WORDS = {
     "email": r"(?i)(?:e-?mail|mail|contact|correo|courriel)[^A-Za-z]{0,3}\w{0,8}[^A-Za-z]{0,3}$",
     "ip": r"(?i)(?:\bip|addr\w*|host|server)[^A-Za-z]{0,3}\w{0,8}[^A-Za-z]{0,3}$",
     "card": r"(?i)(?:card|visa|master\w*|karte|carte|tarjeta|credit)[^A-Za-z]{0,3}\w{0,8}[^A-Za-z]{0,3}$",
     "phone": r"(?i)(?:phone|tel|call|fax|mobile|telefon|\bcell)[^A-Za-z]{0,3}\w{0,8}[^A-Za-z]{0,3}$",
+    "secret": rf"(?i){CREDENTIAL}[\"']?\x20?[=:]\x20?[\"']?$",
+}
+_DOT = r"\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b)\x20?"
+#: What labelers propose beyond the base patterns, by kind. A kind's proposals are found in one pass and don't overlap.
+PROPOSALS = {
+    "email": {
+        "gazetteer": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}(?:" + _DOT + r"[A-Za-z0-9-]{1,63}){0,6}?" + _DOT + "(?:" + "|".join(TLDS) + r")(?![A-Za-z0-9-])",
+    },
+    "phone": {
+        "context": r"(?=[0-9(])(?<=(?:[Pp]hone|[Tt]el|[Cc]all|[Ff]ax|[Mm]obile)[:.]?\x20{0,2})[0-9(][0-9().\x20-]{7,18}[0-9](?![0-9])",
+        "shape": r"(?<![0-9+.-])(?<!\+[0-9]\x20)(?<!\+[0-9][0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    },
+    "secret": {
+        "context": rf"(?<=[=:][\"'\x20]{{0,2}})(?<=(?i:{CREDENTIAL})[\"']?\x20?[=:]\x20?[\"']?)[^\x00-\x20\"'<>,;=:]{{6,200}}+",
+        "gazetteer": rf"(?<![A-Za-z0-9_-]){PREFIXES}(?![A-Za-z0-9_-])",
+        "shape": r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{16,200}+(?![A-Za-z0-9+/_@-])",
+    },
+}
+PROPOSAL_NEEDS = {
+    "email": r"[(\[{]at[)\]}]|\x20at\x20[A-Za-z0-9-]++(?:\.[A-Za-z]|\x20?[(\[{]?dot\b)",
+    "phone": r"[0-9]{3}[.-][0-9]{4}|[0-9(](?<=(?:hone|el|all|ax|obile)[:.]?\x20{0,2}[0-9(])",
+    "secret": rf"[0-9][+/_-]*+[A-Za-z]|[A-Za-z][+/_-]*+[0-9]|[=:](?<=(?i:{CREDENTIAL})[\"']?\x20?[=:])|AKIA|gh[opsur]_|eyJ|sk-|xox",
 }
 GLUED = r"(?:[A-Za-z0-9_=\"'/.+-])$"
 LABELERS = ("regex", "gazetteer", "context", "shape")
@@ -120,6 +143,13 @@ def votes(kind: str, base: Column, m: Column) -> list[Column]:
     """Each labeler's vote: 1, -1 or 0."""
     text, digits = m["match"], digits_of(m["match"])
     vote = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else ~yes, -1).otherwise(0)
+    if kind == "secret":
+        fixed = text.rlike(rf"^(?:[0-9a-f]{{16,}}|[0-9A-F]{{16,}}|{PREFIXES})$") | (text.rlike(r"^[A-Za-z0-9+/_-]{20,}={0,2}$") & text.rlike("[a-z]") & text.rlike("[A-Z]") & text.rlike("[0-9]"))
+        mixed = text.rlike("[0-9]") & text.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(text, ""))) > 6)
+        plain = text.rlike(r"^(?:[0-9]+|[A-Za-z]+|[^A-Za-z0-9]+)$") | text.rlike("[.](?:html?|js|py|png|jpg|pdf|com|org)$") | (F.length(F.regexp_replace(text, "[^/]", "")) > 2)
+        glued = m["before"].rlike(r"(?:[/A-Za-z0-9]|(?i:href|src)=[\"']?)$")
+        known = text.rlike(rf"^{PREFIXES}$")
+        return [vote(fixed, ~text.rlike("[0-9]")), vote(known, text.rlike(PLACEHOLDERS)), vote(m["before"].rlike(WORDS[kind]), glued), vote(mixed & ~plain, plain)]
     last = F.lower(F.regexp_extract(text, r"([A-Za-z]+)$", 1))
     known = {
         "email": last.isin(TLDS),
@@ -142,7 +172,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     columns = []
     for k, kind in enumerate(KINDS):
-        sources = [(kind, BASE[kind], NEEDS[kind], True)] + ([(f"{kind}_near", NEAR[kind], NEAR_NEEDS[kind], False)] if kind in NEAR else [])
+        sources = [(kind, BASE[kind], NEEDS[kind], True)] if kind in BASE else []
+        if kind in PROPOSALS:
+            sources.append((f"{kind}_proposed", "|".join(PROPOSALS[kind].values()), PROPOSAL_NEEDS[kind], False))
         for name, pattern, needs, strict in sources:
             df = located(df, pattern, needs, f"__{name}")
             ok = (lambda m, kind=kind: valid(kind, m["match"])) if strict else (lambda m: F.lit(False))
@@ -154,6 +186,8 @@ def _plausible(kind: str):
     """Card-like: 14 to 19 digits. Most runs of digits are nothing of the kind."""
     if kind == "card":
         return lambda m: F.char_length(digits_of(m["match"])).between(14, 19)
+    if kind == "phone":
+        return lambda m: F.char_length(digits_of(m["match"])) >= 7
     return lambda m: F.lit(True)
 
 
@@ -166,7 +200,7 @@ def _labelled(k: int, kind: str, ok):
 
 
 def estimate(counts: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
-    """EM over vote patterns of one kind: P(true | votes). Labelers err independently; the regex labeler anchors the start.
+    """EM over vote patterns of one kind: P(true | votes). Labelers err independently; it starts from the sum of votes.
 
     counts: how often each tuple of votes (1, -1, 0) occurs.
     """
@@ -174,7 +208,7 @@ def estimate(counts: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
     if not total:
         return {}
     n = len(next(iter(counts)))
-    post = {p: 0.9 if p[0] == 1 else 0.1 for p in counts}
+    post = {p: min(0.95, max(0.05, 0.4 + 0.3 * sum(p))) for p in counts}
     for _ in range(rounds):
         true = sum(c * post[p] for p, c in counts.items())
         prior = (true + 1) / (total + 2)
@@ -208,8 +242,10 @@ def train(counts: dict[tuple, int], post: dict[tuple, float], steps: int = 400)
     return w, b
 
 
-def _code(k, gazetteer, context, shape):
-    return k * 27 + (gazetteer + 1) * 9 + (context + 1) * 3 + shape + 1
+def _code(k, *votes):
+    for v in votes:
+        k = k * 3 + v + 1
+    return k
 
 
 def annotate(docs: DataFrame, *, text: str = "text", threshold: float = 0.9) -> DataFrame:
@@ -217,19 +253,18 @@ def annotate(docs: DataFrame, *, text: str = "text", threshold: float = 0.9) ->
     df = common.written(candidates(docs, text), "pii-candidates")
     each = df.select(F.explode("found").alias("c")).groupBy("c.k", *[f"c.{x}" for x in LABELERS]).count()
     by_kind: dict[int, dict[tuple, int]] = {}
-    for r in each.collect():  # 4 kinds and 81 patterns of votes at most
+    for r in each.collect():  # 5 kinds and 81 patterns of votes at most
         by_kind.setdefault(r["k"], {})[tuple(r[x] for x in LABELERS)] = r["count"]
-    # A near miss has a regex vote of -1; where the other votes accept is a set of at most 4 x 27 codes.
     accepted = [-1]
     for k, counts in by_kind.items():
         w, b = train(counts, estimate(counts))
-        for rest in itertools.product((-1, 0, 1), repeat=3):
-            z = b + sum(x * y for x, y in zip(w, (-1, *rest), strict=True))
-            if 1 / (1 + math.exp(-z)) >= threshold:
-                accepted.append(_code(k, *rest))
+        for seen in itertools.product((-1, 0, 1), repeat=len(LABELERS)):
+            z = b + sum(x * y for x, y in zip(w, seen, strict=True))
+            if 1 / (1 + math.exp(-z)) >= threshold and sum(seen) > 0:  # never against most of the labelers
+                accepted.append(_code(k, *seen))
 
     base = F.filter("found", lambda c: c["base"])
-    near = F.filter("found", lambda c: ~c["base"] & _code(c["k"], c["gazetteer"], c["context"], c["shape"]).isin(accepted))
+    near = F.filter("found", lambda c: ~c["base"] & _code(c["k"], *[c[x] for x in LABELERS]).isin(accepted))
     df = df.select("doc_id", base.alias("sure"), near.alias("near"))
     apart = F.filter("near", lambda c: ~F.exists("sure", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     whole = F.when(F.size("near") == 0, F.col("sure")).otherwise(F.concat("sure", apart))
