@@ -98,27 +98,32 @@ def test_simhash_classes(spark):
     assert sorted(str(tuple(r)) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_links_lose_none(spark, block):
-    """Clusters, whose buckets are compared in a block or met in midpoints."""
+@pytest.mark.parametrize(("radius", "block"), [(4, 2048), (4, 5), (1, 2048), (1, 3), (2, 3), (3, 2048), (3, 3), (5, 2048), (0, 3)])
+def test_links_lose_none(spark, radius, block):
+    """Clusters, whose buckets are compared in a block or met in midpoints: true links only, and the components of all."""
     rng = random.Random(4)
     values = {rng.getrandbits(64) for _ in range(60)}
     for v in list(values)[:6]:
         for _ in range(12):
             x = v
-            for b in rng.sample(range(64), rng.randrange(1, 7)):
+            for b in rng.sample(range(64), rng.randrange(1, radius + 3)):
                 x ^= 1 << b
             values.add(x)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), block=block).collect()
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, block).collect()
     place = {v: i for i, v in enumerate(signed)}
     mine = [(place[r["a"]], place[r["b"]]) for r in found]
-    assert all((values[a] ^ values[b]).bit_count() <= 4 for a, b in mine)
-    true = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 4]
+    assert all((values[a] ^ values[b]).bit_count() <= radius for a, b in mine)
+    true = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= radius]
     assert roots(len(values), mine) == roots(len(values), true)
 
 
+def test_radius_is_checked(spark):
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(spark.createDataFrame([], "fp long"), 6)
+
+
 def test_masks_cover():
     rng, family = random.Random(0), [m % (1 << 64) for m in simhash.masks()]
     assert len(family) == 31

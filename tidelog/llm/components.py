@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import common
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(a, b) links of longs -> (node, root): each linked node and the smallest node that it reaches.
 
     Alternates large-star and small-star steps (Kiveris et al.): every node hangs its larger neighbours, then its
@@ -19,9 +19,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     edges = common.checkpointed(edges)
     mark = _mark(edges)
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
         if not mark[0]:
             break
+        if k == max_rounds:
+            raise RuntimeError(f"components aren't done after {max_rounds} rounds")
         # Large star: neighbours above a node hang under the smallest of its neighbourhood.
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -9,8 +9,9 @@ the radius is ever missed.
 
 Work is on distinct fingerprints, so exact copies cost nothing. Buckets of two come out of the count itself. Larger
 ones, up to BLOCK, are compared inside one task, which puts out a spanning forest of the links, not all pairs. The
-members of buckets above BLOCK meet in midpoints instead: each puts out all values within r/2 bits of itself, and two
-that share such a value are within r of each other, and any two within r share one; that is linear in the bucket.
+members of buckets above BLOCK meet in midpoints instead. Any two within r bits have a value between them that is within
+floor(r/2) of one and ceil(r/2) of the other, and whatever is within these of one value is within r of each other. So
+each value's smallest member at floor(r/2) is linked with all at ceil(r/2): exact, and linear in the bucket.
 
 Results: null and empty texts have no words, fingerprint zero, and link like any other. Texts of fewer than 4 words
 are one shingle. Repeated rows are kept. The component of a null doc_id's row is the smallest id it reaches.
@@ -40,9 +41,9 @@ BLOCK = 512
 #: Buckets of three and more, 16 bytes each, that are broadcast to find their members; beyond it both sides are shuffled.
 BROADCAST_BUCKETS = 500_000
 #: One of so many texts is asked which shingles are frequent, FREQUENT of which are known at most. Only the work depends on it.
-SAMPLED, FREQUENT = 16, 500_000
+SAMPLED, FREQUENT = 16, 100_000
 #: Turns in which a node is compared with one other before all pairs of different components are.
-TURNS = 3
+TURNS = 2
 #: Rows of texts' keys, 80 bytes each at most, that are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -61,6 +62,11 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         begins = np.append(0, ends[:-1] + 1)
         a, b = begins[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
         hashes = np.array([xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -109,7 +115,9 @@ def _forest(block: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links among distinct `fp` within the radius, enough to join each component."""
+    """(a, b): links among distinct `fp` within the radius, enough to join each component; exact for radius 0 to 5."""
+    if not 0 <= radius <= 5:
+        raise ValueError("the radius must be from 0 to 5 bits")
     family = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(masks(radius))])
     kind = [F.col("kind")] if "kind" in prints.columns else []  # fingerprints of different kinds don't meet
     keyed = prints.select("fp", *kind, F.explode(family).alias("t"))
@@ -145,24 +153,28 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
             yield done(values, np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(values)))
 
     compared = small.select("bucket", "fp").mapInArrow(run, "a long, b long")
-    flips = [0, *(1 << i for i in range(BITS))]
-    if radius >= 4:
-        flips += [1 << i | 1 << j for i in range(BITS) for j in range(i)]
-    signed = [x - (1 << BITS) if x >> (BITS - 1) else x for x in flips]
     met = None
     crowd = members.where(F.col("n") > block).select("fp").distinct()
     if crowd.take(1):
-        if radius > 5:
-            raise ValueError("midpoints are written for a radius of 4 or 5 at most")
-        spark = prints.sparkSession
-        table = F.broadcast(spark.createDataFrame([(x,) for x in signed], "x long"))  # 2081 rows
-        around = crowd.join(table, F.lit(True)).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("z"))
-        lowest = around.groupBy("z").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("z", "b")
-        met = around.join(lowest, "z").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
+        near, far = _around(crowd, radius // 2), _around(crowd, -(-radius // 2))
+        hubs = near.groupBy("z").agg(F.min("fp").alias("b"))
+        met = far.join(hubs, "z").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
     out = pairs.unionByName(compared)
     return (out.unionByName(met) if met is not None else out).distinct()
 
 
+def _around(prints: DataFrame, flips: int) -> DataFrame:
+    """fp and each z within `flips` bits of it."""
+    one = "transform(sequence(0, 63), i -> shiftleft(1L, i))"
+    two = "flatten(transform(sequence(1, 63), i -> transform(sequence(0, i - 1), j -> shiftleft(1L, i) | shiftleft(1L, j))))"
+    three = (
+        "flatten(flatten(transform(sequence(2, 63), i -> transform(sequence(1, i - 1), j -> "
+        "transform(sequence(0, j - 1), k -> shiftleft(1L, i) | shiftleft(1L, j) | shiftleft(1L, k))))))"
+    )
+    values = ["array(0L)", one, two, three][: flips + 1]
+    return prints.select("fp", F.explode(F.expr(f"transform(flatten(array({', '.join(values)})), x -> fp ^ x)")).alias("z"))
+
+
 def classes(docs: DataFrame, *, text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of each row."""
     prints = common.written(with_fingerprints(docs, text=text, size=size), "prints")
@@ -222,23 +234,26 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
         least = r["c"]
     if least is None:
         return np.zeros(0, np.uint64)
-    return np.sort(np.array([r["h"] for r in counts.where(F.col("c") >= least).select("h").collect()], np.int64).view(np.uint64))
+    return np.sort(counts.where(F.col("c") >= least).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
 def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, node) of each row and (node, root) of each node that has near copies.
 
     A node is a distinct set of `size`-word shingles, named by a hash. Two nodes are linked if their sets' resemblance
-    is `similarity` or more, and a root is the smallest node of a component of those links. No link that joins two
-    components is missed. In any one order of all shingles, two such sets share one among each one's first
-    n - ceil(similarity * n) + 1, n being its size (the prefix filter), and the first that they share leaves enough
-    after it in both to reach the similarity. The order is that of the hashes, with frequent shingles last, so that
-    the shingles of a common passage hardly ever meet.
+    is `similarity` or more, and a root is the smallest node of a component of those links.
+
+    First, nodes whose SimHash fingerprints link() are compared by their whole sets, which joins most copies. A pair at
+    the similarity may differ in more bits than the covering family's radius, though, and a link between fingerprints
+    may stand for pairs that weren't compared. So what is still in different components is searched exactly: in any one
+    order of all shingles, two such sets share one among each one's first n - ceil(similarity * n) + 1, n being its size
+    (the prefix filter), and the first that they share leaves enough after it in both to reach the similarity. The order
+    is that of the hashes, with frequent shingles last, so that the shingles of a common passage hardly ever meet.
 
     Of the nodes that meet in a shingle one is the hub, another in each of TURNS turns, and each node is compared with
-    the hub that it meets most, which joins large groups of copies. After that only pairs of different components are
-    left, and all of those are compared that share enough of their prefixes: what two sets share beyond the prefix that
-    ends first is less than ceil(similarity * n).
+    the hub that it meets most. After that all pairs of different components are compared that share enough of their
+    prefixes: what two sets share beyond the prefix that ends first is less than ceil(similarity * n). Of the nodes of a
+    shingle those of its largest component don't meet each other, so a large group of copies costs no square.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -247,22 +262,37 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for b in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, prints, sizes, prefixes = [], [], [], []
             for t in _texts(b, 2):
                 s = shingle_set(t, size)
                 nodes.append(_node(s))
+                prints.append(majority(s))
                 sizes.append(len(s))
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                     s = np.append(s[~last], s[last])
                 prefixes.append(s[: sizes[-1] - math.ceil(similarity * sizes[-1] - 1e-9) + 1].view(np.int64))
             uids = np.frombuffer(os.urandom(8 * len(nodes)), np.int64)
-            arrays = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(uids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "uid", "n", "prefix"])
+            arrays = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(uids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "uid", "n", "prefix"])
 
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_key")
-    rows = docs.select("doc_id", key, "text").mapInArrow(run, "doc_id long, text_key string, node long, uid long, n int, prefix array<long>")
+    rows = docs.select("doc_id", key, "text").mapInArrow(run, "doc_id long, text_key string, node long, fp long, uid long, n int, prefix array<long>")
     rows = common.written(rows, "prefixes")
+
+    # The fingerprints' links: each node with the first one of its fingerprint, and these with each other.
+    each = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))  # a node has one of each
+    each = common.checkpointed(each)
+    heads = common.checkpointed(each.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("h")).select("fp", "h.*"))
+    alike = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6
+    stars = each.join(heads.select("fp", F.col("node").alias("x"), F.col("n").alias("nx")), "fp").where("node <> x").select("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny"))
+    linked = common.checkpointed(links(heads.select("fp")))
+    linked = linked.join(heads.selectExpr("fp a", "node x", "n nx"), "a").join(heads.selectExpr("fp b", "node y", "n ny"), "b").select("x", "y", "nx", "ny")
+    pairs = stars.unionByName(linked).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tried = common.checkpointed(pairs)
+    true = common.checkpointed(_resembling(docs, rows, tried, similarity, size))
+    roots = common.checkpointed(components(true))
+
     # All rows of a node but one are left out; there are few, so prefixes needn't move for it.
     again = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("uid").alias("uid")).where("c > 1").select("node", F.col("uid").alias("own"))
     extra = common.checkpointed(rows.select("node", "uid").join(again, "node").where("uid <> own").select("node", "uid"))
@@ -276,29 +306,32 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
         """(x, y, c) of rows x, y, nx, ny, ax, ay, one for each of c shared shingles of the prefixes, that can reach the similarity."""
         need = similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-6
         after = 1 + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
-        counted = a.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max(after).alias("after"))
+        counted = a.where(alike).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max(after).alias("after"))
         beyond = F.ceil(similarity * F.greatest("nx", "ny") - 1e-9) - 1  # shared shingles beyond the prefix that ends first
         return counted.where((F.col("after") >= need) & (F.col("c") + beyond >= need)).select("x", "y", "c")
 
-    roots = spark.createDataFrame([], "node long, root long")
-    true = tried = spark.createDataFrame([], "a long, b long")
     for turn in range(TURNS + 1):
         named = members.select("h", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("h")
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "at", "root")).alias("hub")
         hubs = named.groupBy("h").agg(hub, F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h", "hub")
-        members = common.written(named.join(hubs, "h"), "members-left")
+        left = common.written(named.join(hubs, "h"), "members-left")
         if turn < TURNS:
-            star = members.where("root <> hub.root").selectExpr("hub.node x", "node y", "hub.n nx", "n ny", "hub.at ax", "at ay")
+            star = left.where("root <> hub.root").selectExpr("hub.node x", "node y", "hub.n nx", "n ny", "hub.at ax", "at ay")
             pairs = met(star).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
         else:
-            both = members.alias("x").join(members.alias("y"), "h").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-            pairs = met(both.selectExpr("x.node x", "y.node y", "x.n nx", "y.n ny", "x.at ax", "y.at ay"))
+            largest = left.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
+            sided = common.written(left.drop("hub").join(largest, "h").withColumn("minor", F.col("root") != F.col("major")).drop("major"), "members-sided")
+            both = sided.alias("x").join(sided.where("minor").alias("y"), "h").where("x.root <> y.root and (not x.minor or x.node < y.node)")
+            first = F.col("x.node") < F.col("y.node")
+            by = [(f"{c}{s}", F.when(first if s == "x" else ~first, F.col(f"x.{d}")).otherwise(F.col(f"y.{d}"))) for c, d in (("", "node"), ("n", "n"), ("a", "at")) for s in "xy"]
+            pairs = met(both.select(*[v.alias(k) for k, v in by]))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = common.checkpointed(pairs)
         if not pairs.take(1):
             continue  # the next turn has other hubs, the last one all pairs
         found = common.checkpointed(_resembling(docs, rows, pairs, similarity, size))
         tried = tried.unionByName(pairs)
+        members = left.select("h", "node", "n", "at")  # what meets its own component alone needs no more search
         if found.take(1):
             true = true.unionByName(found)
             roots = common.checkpointed(components(true))
