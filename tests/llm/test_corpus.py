@@ -200,8 +200,8 @@ def test_targets(spark, sizes):
 def test_mix(spark):
     rows = plain.documents() + [(500 + i, "w " * (1 + i % 9)) for i in range(400)]
     df = plain.frame(spark, rows, repeats="clash", target=1)
-    got = mixing.mix(mixing.sized(df)).collect()
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(mixing.sized(df.repartition(5))).collect()))
+    got = mixing.mix(mixing.sized(df)).drop("row").collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(mixing.sized(df.repartition(5))).drop("row").collect()))
     size = lambda t: len((t or "").encode().split())
     assert sorted(r["size"] for r in got) == sorted(size(t) for _, t in rows)
     sums = {}
@@ -211,12 +211,33 @@ def test_mix(spark):
         assert 0 <= r["repeats"] <= 3
     assert {k: v[2] for k, v in sums.items()} == pytest.approx(plain_targets({k: v[0] for k, v in sums.items()}))
     assert all(abs(v[1] - v[2]) <= v[3] / 2 + 1 and v[4] == v[0] for v in sums.values())
-    plain_rows = plain.frame(spark, rows)
-    assert mixing.resampled(plain_rows).columns == plain_rows.columns
-    assert mixing.resampled(plain_rows).count() == sum(r["repeats"] for r in got)
+    assert mixing.resampled(plain.frame(spark, rows)).count() == sum(r["repeats"] for r in got)
     assert mixing.mix(mixing.sized(df.limit(0))).count() == 0
 
 
+def test_mix_keeps_columns(spark):
+    clash = dict(size=-7, target="mine", repeats=True, source_size=1, order="z", row="r", s="s", bucket=-1, edge=2, __x=5)
+    df = plain.frame(spark, plain.documents(), **clash)
+    got = mixing.resampled(df)
+    assert got.schema == df.schema and got.count() > 0
+    assert got.select(*clash).distinct().collect() == [tuple(clash.values())]
+
+
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_mix_is_its_sql(spark, monkeypatch, tmp_path, rows):
+    """Null ids and sources, repeated rows and many buckets included."""
+    import duckdb
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+    docs = plain.documents() + [(500 + i, "w " * (1 + i % 9)) for i in range(300)] + [(500 + i, "w " * (1 + i % 9)) for i in range(0, 300, 50)]
+    plain.frame(spark, docs).coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    want = sorted(map(str, con.execute(f"select {', '.join(names)} from ({mixing.ORACLE})").fetchall()))
+    assert sorted(str(tuple(r)) for r in mixing.query(spark, f"file://{tmp_path}").select(*names).collect()) == want
+
+
 def shingles(text, size=5):
     w = (text or "").encode().split()
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())

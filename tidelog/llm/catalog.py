@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pii": pii.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op9_mixing": mixing.ORACLE}
