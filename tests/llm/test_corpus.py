@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -52,6 +53,20 @@ def test_decontamination(spark, monkeypatch, broadcast):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, t in rows if not plain_hits(t, ITEMS)[4])
 
 
+def test_no_words_are_shuffled(spark):
+    """Beyond the broadcast only keys, positions and hashes of documents move."""
+    items = decontaminate.item_windows(spark.createDataFrame(ITEMS, "item_id long, text string"))
+    by_hash = items.where("len = 10").select(F.xxhash64("words").alias("hash"), "len", "words", F.lit(1).alias("window"))
+    df = decontaminate.hits(plain.frame(spark, plain.documents()), by_hash, [10], False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    moved = [m for m in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan) if "text_hash#" in m]
+    assert moved and all(set(re.findall(r"([a-z_]+)#", m)) <= {"doc_id", "text_hash", "n", "p", "hash"} for m in moved)
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.annotate(plain.frame(spark, plain.documents()), none)

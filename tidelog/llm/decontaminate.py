@@ -5,8 +5,9 @@ one window) form a set keyed by hash, which is broadcast while it is small (chec
 document gives one hash for each window of a length that items have; those that meet the set are verified against the
 window's words, and a document's hits come together as word positions, whose union is measured.
 
-A document's own row travels among its window hashes as one that matches nothing, so texts are read and cut once and
-nothing is joined back.
+A document's own row travels among its window hashes as one that matches nothing, so texts are read and cut once. While
+the set is broadcast, hits are verified where they are found. Beyond that only hashes and positions are shuffled, no
+words; what meets comes together by document and is verified by one join with the words of the documents that have any.
 
 Results: null text and texts without words give zeros. A window that several items share counts for each. Rows that
 repeat are kept, each with the same result. Items without words never match. Without items nothing is hit. Rows of
@@ -24,8 +25,8 @@ from tidelog.llm import common
 
 SIZE = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that are broadcast at most: about 200 bytes each.
-BROADCAST_WINDOWS = 200_000
+#: Windows that are broadcast at most, and bytes of their words.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -55,33 +56,24 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return each.select("item_id", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("words")).distinct()
 
 
-def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int = SIZE) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated of each row of `docs`."""
-    each = common.checkpointed(item_windows(items, size))
-    lengths = sorted(r["len"] for r in each.select("len").distinct().collect())  # `size` values at most
-    by_window = each.select("len", "words").distinct()
-    cut_again = F.split("words", " ")
-    by_hash = by_window.select(
-        "len", "words", F.xxhash64("len", "words").alias("window"), F.transform(cut_again, lambda w: F.xxhash64(w)).alias("h")
-    )
-    pick = F.lit(None).cast("long")
-    for k in lengths:
-        pick = F.when(F.col("len") == k, window_hash(F.col("h"), F.lit(0), size=k)).otherwise(pick)
-    by_hash = common.checkpointed(by_hash.withColumn("hash", pick).select("hash", "len", "words", "window"))
-    n_windows = each.count()  # with one row for each item that has the window
+def hits(docs: DataFrame, by_hash: DataFrame, lengths: list[int], few: bool, *, text: str = "text") -> DataFrame:
+    """doc_id, text_hash, n, self, at, len, window of each window met, and a row with self = 1 for each row of `docs`.
 
+    few: `by_hash` is broadcast and hits are verified here; else rows have `words`, those of the window, to verify by.
+    """
     plain = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     cut = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     cut = cut.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("n", F.size("w"))
-    # Entry 0 is the document itself; the windows of each length follow in order of their first word.
-    rows = [F.array(F.lit(None).cast("long"))]
+    # Entry 0 is the document itself, spread by its key; the windows of each length follow in order of their first word.
+    rows = [F.array(F.xxhash64(F.lit("self"), "doc_id", "text_hash"))]
     for k in lengths:
         rows.append(F.transform(spans(F.col("n"), k), hasher(k)))
-    listed = cut.select("doc_id", "text_hash", "w", "n", F.concat(*rows).alias("hashes"))
+    carried = ["w"] if few else []
+    listed = cut.select("doc_id", "text_hash", *carried, "n", F.concat(*rows).alias("hashes"))
     # The outer form, as for the other Spark would first test each list for rows, and compute it once more to do so.
-    probes = listed.select("doc_id", "text_hash", "n", "w", F.posexplode_outer("hashes").alias("p", "hash"))
-    window_set = F.broadcast(by_hash) if n_windows <= BROADCAST_WINDOWS else by_hash.hint("shuffle_hash")
-    met = probes.join(window_set, "hash", "left").where("p = 0 or len is not null")
+    probes = listed.select("doc_id", "text_hash", "n", *carried, F.posexplode_outer("hashes").alias("p", "hash"))
+    window_set = F.broadcast(by_hash) if few else by_hash.hint("shuffle_hash")
+    met = probes.alias("a").join(window_set.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("p") > 0), "left").where("p = 0 or len is not null")
     # p - 1 counts windows over all lengths before this one.
     before = F.lit(0)
     for k in reversed(lengths):
@@ -89,15 +81,51 @@ def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int
         skipped = sum((F.greatest(F.col("n") - x + 1, F.lit(0)) for x in shorter), F.lit(0))
         before = F.when(F.col("len") == k, skipped).otherwise(before)
     at = F.col("p") - 1 - before
-    same = F.array_join(F.slice("w", F.greatest(at, F.lit(0)) + 1, F.coalesce("len", F.lit(1))), " ") == F.col("words")
-    hits = met.where((F.col("p") == 0) | same).select(
-        "doc_id", "text_hash", "n", (F.col("p") == 0).cast("int").alias("self"), at.alias("at"), "len", "window"
+    if few:
+        same = F.array_join(F.slice("w", F.greatest(at, F.lit(0)) + 1, F.coalesce("len", F.lit(1))), " ") == F.col("words")
+        met = met.where((F.col("p") == 0) | same)
+    own = ["doc_id", "text_hash", "n", (F.col("p") == 0).cast("int").alias("self"), at.alias("at"), "len", "window"]
+    return met.select(*own, *([] if few else ["words"]))
+
+
+def _verified(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """`found` with those of `met` whose words are in the text at their place."""
+    some = found.where("size(met) > 0")
+    same_row = F.col("f.doc_id").eqNullSafe(F.col("d.__id")) & (F.col("f.text_hash") == F.col("d.__hash"))
+    value = F.col(f"`{text}`")
+    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(value).alias("__hash"), value.alias("__text"))
+    both = some.alias("f").join(texts.alias("d"), same_row).dropDuplicates(["doc_id", "text_hash"])
+    w = words(F.col("__text"))
+    true = F.filter("met", lambda m: F.array_join(F.slice(F.col("__w"), m["at"] + 1, m["len"]), " ") == m["words"])
+    checked = both.withColumn("__w", w).select("f.doc_id", "f.text_hash", "f.n", "f.copies", true.alias("met"))
+    return checked.unionByName(found.where("size(met) = 0"))
+
+
+def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int = SIZE) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated of each row of `docs`."""
+    each = common.checkpointed(item_windows(items, size))
+    lengths = sorted(r["len"] for r in each.select("len").distinct().collect())  # `size` values at most
+    by_window = each.select("len", "words").distinct()
+    cut_again = F.split("words", " ")
+    by_hash = by_window.select(
+        "len", "words", F.xxhash64("len", "words").alias("window"), F.transform(cut_again, lambda w: F.xxhash64(w)).alias("h")
     )
+    pick = F.lit(None).cast("long")
+    for k in lengths:
+        pick = F.when(F.col("len") == k, window_hash(F.col("h"), F.lit(0), size=k)).otherwise(pick)
+    by_hash = common.checkpointed(by_hash.withColumn("hash", pick).select("hash", "len", "words", "window"))
+    told = each.agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("b")).first()  # with one row for each item that has the window
+    few = told["n"] <= BROADCAST_WINDOWS and (told["b"] or 0) <= BROADCAST_BYTES
+
+    met = hits(docs, by_hash, lengths, few, text=text)
     # The union of [at, at + len) in order of position; a document's hits are at most its words times the lengths.
-    span = F.when(F.col("self") == 0, F.struct("at", "len"))
-    found = hits.groupBy("doc_id", "text_hash", "n").agg(
-        F.sum("self").alias("copies"), F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("window").alias("windows")
-    )
+    more = [] if few else ["words"]
+    one = F.when(F.col("self") == 0, F.struct("at", "len", "window", *more))
+    found = met.groupBy("doc_id", "text_hash", "n").agg(F.sum("self").alias("copies"), F.sort_array(F.collect_set(one)).alias("met"))
+    if not few:
+        found = _verified(common.written(found, "contamination-met"), docs, text)
+    spans = F.transform("met", lambda m: F.struct(m["at"].alias("at"), m["len"].alias("len")))
+    found = found.select("doc_id", "text_hash", "n", "copies", F.array_sort(F.array_distinct(spans)).alias("spans"), F.array_distinct(F.col("met.window")).alias("windows"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -108,7 +136,7 @@ def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int
     found = common.written(found, "contamination").withColumn("n_hit", F.aggregate("spans", start, add, lambda acc: acc["hit"]).cast("long"))
     ids = each.select(F.xxhash64("len", "words").alias("window"), F.col("item_id").cast("string").alias("item"))
     of = found.where("n_hit > 0").select("doc_id", "text_hash", F.explode("windows").alias("window"))
-    of = of.join(F.broadcast(ids) if n_windows <= BROADCAST_WINDOWS else ids, "window").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    of = of.join(F.broadcast(ids) if few else ids, "window").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
     keys = F.col("f.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("f.text_hash") == F.col("o.text_hash"))
     both = found.alias("f").join(of.alias("o"), keys, "left").select("f.doc_id", "f.text_hash", "n", "n_hit", "copies", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return both.select(
