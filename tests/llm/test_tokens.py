@@ -86,8 +86,42 @@ def test_store_round_trip(spark, library):
     for r in order:
         assert r["start"] == total
         total += r["n_tokens"]
-    shard = next(r["shard"] for r in got if r["key"] == 11)
-    assert len(idstore.lookup(path, shard, 11, 2)) == 2 and idstore.lookup(path, shard, 987654321, 2) == []
+    reader = idstore.Reader(path, 2)
+    for key in sorted({r["key"] for r in got if r["key"] is not None}) + [None]:
+        mine = sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in got if r["key"] == key)
+        assert [(a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for a, x in reader.get(key)] == mine
+    assert all(reader.get(k) == [] for k in (987654321, -6, 12))
+
+
+def test_hot_key_over_shards(spark, library):
+    """A key that half of all rows bear goes on in several shards; all of its documents are found by the key alone."""
+    rows = [(5, f"copy {i}") for i in range(400)] + [(i, f"other {i}") for i in range(6, 400)]
+    path = common.scratch_path(spark, "test-hot")
+    df = plain.frame(spark, rows)
+    idstore.write_store(df, path, NAME, 2, n_shards=8)
+    reader = idstore.Reader(path, 2)
+    assert len(reader.shards(5)) > 1
+    found = [library.decode(x.tolist()[:-1]) for _, x in reader.get(5)]
+    assert sorted(found) == sorted(t for i, t in rows if i == 5)
+    assert [library.decode(x.tolist()[:-1]) for _, x in reader.get(77)] == ["other 77"]
+
+
+def test_shards_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(idstore, "SHARD_BYTES", 2000)
+    path = common.scratch_path(spark, "test-sizes")
+    idstore.write_store(plain.frame(spark, [(i, "word " * 20) for i in range(400)]), path, NAME, 2)
+    assert len(idstore.Reader(path, 2).directory["shard"]) > 10
+
+
+def test_store_query(spark, sf_dir, library):
+    """The query over a whole table, held against the library."""
+    got = {r["doc_id"]: tuple(r)[1:] for r in idstore.query(spark, sf_dir).collect()}
+    total, docs = 0, sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        assert got[r["doc_id"]] == (total, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        total += len(ids)
 
 
 def test_empty_store(spark):
@@ -100,5 +134,5 @@ def test_index_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20_000))
     index = idstore.Index.from_bytes(idstore.Index.build(keys, np.ones(len(keys), np.int64)).to_bytes())
     assert index.find(keys).tolist() == list(range(len(keys)))
-    assert sum(len(b) for b in index.levels) < 5 * len(keys) and len(index.prints) == len(keys)
+    assert sum(index.sizes) < 5 * len(keys) and len(index.slots) == len(keys)
     assert (index.find(np.arange(10_000)) >= 0).sum() <= 2  # strangers rarely pass the fingerprint

@@ -1,13 +1,18 @@
 """Token ids as binary shards with a minimal perfect hash index over document keys.
 
-A store is a folder of pairs of files, one pair for each range of ascending keys:
+A store is a folder of pairs of files, one pair for each range of ascending keys, and a directory:
 
 * `NNNNNN.ids`: the ids of the shard's documents, one after the other, little-endian, unsigned, 2 bytes wide where the
   vocabulary fits and 4 otherwise; nothing else;
-* `NNNNNN.idx`: magic, length of a JSON header, header, then arrays. The hash is a cascade of bit sets: a key is placed
-  in the first level where no other key shares its bit, and its slot is the rank of that bit. A slot holds a 32-bit
-  fingerprint of the key, the place of its first document in the shard and how many documents bear the key. `ends`
-  has where each document's ids end. A lookup costs a few bit tests and one positioned read.
+* `NNNNNN.idx`: magic, length of a JSON header, header, then three arrays. `blocks` are the bit sets of a cascade: a key is
+  placed in the first level where no other key shares its bit. A block has the number of bits set before it and 512 bits,
+  so the rank of a bit, which is the key's slot, takes one block. `slots` have a 32-bit fingerprint of the key, the place of
+  its first document in the shard and how many documents bear the key. `ends` has where each document's ids end;
+* `directory` (Parquet): a row a shard with its first and last key, its documents, its ids, and all ids before it.
+
+A lookup finds the shards that can hold a key by halving the directory, and in each reads a few blocks, one slot, two ends and
+the ids, each at its place: constant time, and nothing of the index is read whole. A key that very many documents bear may
+go on in the next shards; then the directory names these too.
 
 Beside the files, `keys` (Parquet) lists which key is in which shard. Shards are written under a name of the task
 attempt and then renamed, so that a lost executor leaves no half shard.
@@ -35,8 +40,12 @@ MAGIC = b"TDLGIDX1"
 GAMMA = 1.7
 #: Distinct pieces whose ids a worker keeps.
 MAX_PIECES = 300_000
-#: Bytes of ids that are gathered before they are appended to a shard.
-WRITE_BYTES = 8 << 20
+#: Bytes of text that a shard holds about, and of ids that are read at once.
+SHARD_BYTES, READ_BYTES = 256 << 20, 8 << 20
+#: Stands for a null key, and so sorts first.
+NULL_KEY = -(2**63)
+KEYS = "key long, shard int, copy long, n long"
+DIRECTORY = "shard int, first long, last long, docs long, ids long, before long"
 
 
 # The index
@@ -54,73 +63,79 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
-def build_levels(keys: np.ndarray) -> list[np.ndarray]:
-    """Bit sets that place distinct keys."""
-    levels = []
+BLOCK = np.dtype([("rank", "<u8"), ("bits", "u1", 64)])
+SLOT = np.dtype([("print", "<u4"), ("first", "<u4"), ("run", "<u4")])
+BLOCK_BITS = 512
+
+
+def build_levels(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The sizes of the levels that place distinct keys, and their blocks one level after the other."""
+    sizes, parts, before = [], [], 0
     while len(keys):
-        size = max(64, int(GAMMA * len(keys)) + 1)
-        at = (mixed(keys, len(levels)) % np.uint64(size)).astype(np.int64)
+        size = -(-max(64, int(GAMMA * len(keys)) + 1) // BLOCK_BITS) * BLOCK_BITS
+        at = (mixed(keys, len(sizes)) % np.uint64(size)).astype(np.int64)
         bits = np.bincount(at, minlength=size) == 1
-        levels.append(bits)
+        blocks = np.zeros(size // BLOCK_BITS, BLOCK)
+        blocks["bits"] = np.packbits(bits, bitorder="little").reshape(-1, 64)
+        per = bits.reshape(-1, BLOCK_BITS).sum(1)
+        blocks["rank"] = before + np.cumsum(per) - per
+        before += int(per.sum())
+        sizes.append(size)
+        parts.append(blocks)
         keys = keys[~bits[at]]
-    return levels
+    return sizes, np.concatenate(parts) if parts else np.zeros(0, BLOCK)
 
 
-def slots(levels: list[np.ndarray], ranks: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The slot of each key; for a key that isn't in the set any slot or -1."""
-    got = np.full(len(keys), -1, np.int64)
-    left = np.arange(len(keys))
-    for k, (bits, rank) in enumerate(zip(levels, ranks, strict=True)):
-        if not len(left):
-            break
-        at = (mixed(keys[left], k) % np.uint64(len(bits))).astype(np.int64)
-        hit = bits[at]
-        got[left[hit]] = rank[at[hit]]
-        left = left[~hit]
-    return got
-
-
-def ranks_of(levels: list[np.ndarray]) -> list[np.ndarray]:
-    out, base = [], 0
-    for bits in levels:
-        out.append(base + np.cumsum(bits) - 1)
-        base += int(bits.sum())
-    return out
+def ranked(blocks: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The rank of each bit (0 to 511) in its block among all bits set, -1 where the bit isn't set."""
+    at, shift = bit >> 3, (bit & 7).astype(np.uint8)
+    rows = np.arange(len(blocks))
+    own = blocks["bits"][rows, at]
+    full = np.where(np.arange(64) < at[:, None], blocks["bits"], 0)
+    below = np.bitwise_count(full).sum(1, dtype=np.int64) + np.bitwise_count(own & ((np.uint8(1) << shift) - np.uint8(1)))
+    return np.where(own >> shift & 1 == 1, blocks["rank"].astype(np.int64) + below, -1)
 
 
 class Index:
     """A shard's index: keys to documents."""
 
-    def __init__(self, levels, prints, first, run, ends) -> None:
-        self.levels, self.prints, self.first, self.run, self.ends = levels, prints, first, run, ends
-        self.ranks = ranks_of(levels)
+    def __init__(self, sizes: list[int], blocks: np.ndarray, slots: np.ndarray, ends: np.ndarray) -> None:
+        self.sizes, self.blocks, self.slots, self.ends = sizes, blocks, slots, ends
 
     @classmethod
     def build(cls, keys: np.ndarray, lengths: np.ndarray) -> Index:
         """keys: of the documents in order, equal ones adjacent; lengths: their ids."""
         fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         distinct = keys[fresh].view(np.uint64)
-        levels = build_levels(distinct)
-        slot = slots(levels, ranks_of(levels), distinct)
-        prints, first, run = (np.zeros(len(distinct), np.uint32) for _ in range(3))
-        prints[slot], first[slot], run[slot] = fingerprints(distinct), fresh, np.diff(np.append(fresh, len(keys)))
-        return cls(levels, prints, first, run, np.cumsum(lengths).astype(np.uint64))
+        out = cls(*build_levels(distinct), np.zeros(len(distinct), SLOT), np.cumsum(lengths).astype(np.uint64))
+        slot = out.slot_of(distinct)
+        out.slots["print"][slot], out.slots["first"][slot], out.slots["run"][slot] = fingerprints(distinct), fresh, np.diff(np.append(fresh, len(keys)))
+        return out
+
+    def slot_of(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key; for a key that isn't in the set any slot or -1."""
+        got, left, before = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
+        for level, size in enumerate(self.sizes):
+            if not len(left):
+                break
+            at = (mixed(keys[left], level) % np.uint64(size)).astype(np.int64)
+            got[left] = ranked(self.blocks[before + at // BLOCK_BITS], at % BLOCK_BITS)
+            left, before = left[got[left] < 0], before + size // BLOCK_BITS
+        return got
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key's first document, -1 where the fingerprint disagrees."""
         k = keys.view(np.uint64)
-        slot = slots(self.levels, self.ranks, k)
+        slot = self.slot_of(k)
         ok = slot >= 0
-        ok[ok] = self.prints[slot[ok]] == fingerprints(k[ok])
+        ok[ok] = self.slots["print"][slot[ok]] == fingerprints(k[ok])
         out = np.full(len(keys), -1, np.int64)
-        out[ok] = self.first[slot[ok]]
+        out[ok] = self.slots["first"][slot[ok]]
         return out
 
     def to_bytes(self) -> bytes:
-        head = json.dumps({"levels": [len(b) for b in self.levels], "keys": len(self.prints), "docs": len(self.ends)}).encode()
-        packed = [np.packbits(b).tobytes() for b in self.levels]
-        rest = [a.astype(t).tobytes() for a, t in ((self.prints, "<u4"), (self.first, "<u4"), (self.run, "<u4"), (self.ends, "<u8"))]
-        return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *packed, *rest])
+        head = json.dumps({"levels": self.sizes, "keys": len(self.slots), "docs": len(self.ends)}).encode()
+        return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, self.blocks.tobytes(), self.slots.tobytes(), self.ends.astype("<u8").tobytes()])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Index:
@@ -128,16 +143,45 @@ class Index:
             raise ValueError("not an index file")
         at = 12 + int.from_bytes(raw[8:12], "little")
         head = json.loads(raw[12:at])
-        levels = []
-        for n in head["levels"]:
-            size = -(-n // 8)
-            levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n).astype(bool))
-            at += size
         arrays = []
-        for n, t in ((head["keys"], "<u4"), (head["keys"], "<u4"), (head["keys"], "<u4"), (head["docs"], "<u8")):
+        for n, t in ((sum(head["levels"]) // BLOCK_BITS, BLOCK), (head["keys"], SLOT), (head["docs"], np.dtype("<u8"))):
             arrays.append(np.frombuffer(raw, t, n, at))
-            at += n * np.dtype(t).itemsize
-        return cls(levels, *arrays)
+            at += n * t.itemsize
+        return cls(head["levels"], *arrays)
+
+
+class OnDisk:
+    """An index file of which only what a key needs is read."""
+
+    def __init__(self, file) -> None:
+        self._file = file
+        start = file.read_at(12, 0)
+        if start[:8] != MAGIC:
+            raise ValueError("not an index file")
+        size = int.from_bytes(start[8:12], "little")
+        head = json.loads(file.read_at(size, 12))
+        self._levels, self._blocks = head["levels"], 12 + size
+        self._slots = self._blocks + sum(self._levels) // BLOCK_BITS * BLOCK.itemsize
+        self._ends = self._slots + head["keys"] * SLOT.itemsize
+
+    def _row(self, at: int, kind: np.dtype, n: int = 1) -> np.ndarray:
+        return np.frombuffer(self._file.read_at(n * kind.itemsize, at), kind)
+
+    def ends(self, key: int) -> np.ndarray:
+        """Where the ids of the key's documents begin and end, in ids: one number more than documents; empty without the key."""
+        k, before = np.array([key], np.int64).view(np.uint64), 0
+        for level, size in enumerate(self._levels):
+            at = int(mixed(k, level)[0] % np.uint64(size))
+            block = self._row(self._blocks + (before + at // BLOCK_BITS) * BLOCK.itemsize, BLOCK)
+            if (rank := int(ranked(block, np.array([at % BLOCK_BITS]))[0])) >= 0:
+                slot = self._row(self._slots + rank * SLOT.itemsize, SLOT)[0]
+                if slot["print"] != fingerprints(k)[0]:
+                    break
+                first, run = int(slot["first"]), int(slot["run"])
+                got = self._row(self._ends + 8 * max(0, first - 1), np.dtype("<u8"), run + (first > 0)).astype(np.int64)
+                return got if first else np.append(0, got)
+            before += size // BLOCK_BITS
+        return np.zeros(0, np.int64)
 
 
 # Encoding
@@ -253,11 +297,13 @@ def _store(path: str):
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text", n_shards: int | None = None) -> None:
-    """Write `docs` as a store at `path`, a URI that the executors share."""
+    """Write `docs` as a store at `path`, a URI that the executors share. Shards are as many as texts of SHARD_BYTES need."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    if n_shards is None:
+        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     slim = slim.repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
 
@@ -283,7 +329,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, key:
                 inside[at[1:] - 1] = False
                 whole[inside] = ids
                 out.write(whole.tobytes())
-                own_keys = first.column(0).fill_null(-(2**63)).to_numpy()
+                own_keys = first.column(0).fill_null(NULL_KEY).to_numpy()
                 keys.append(own_keys)
                 lengths.append(np.diff(at))
                 # Which of the documents with the same key it is; they are adjacent, if need be across batches.
@@ -299,23 +345,27 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, key:
         for kind in ("ids", "idx"):
             fs.move(f"{own}.{kind}", f"{root}/{shard:06d}.{kind}")
 
-    slim.mapInArrow(run, "key long, shard int, copy long, n long").write.parquet(f"{path}/keys")
+    slim.mapInArrow(run, KEYS).write.parquet(f"{path}/keys")
+    keys = spark.read.schema(KEYS).parquet(f"{path}/keys").withColumn("key", F.coalesce("key", F.lit(NULL_KEY)))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    each = keys.groupBy("shard").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("docs"), F.sum("n").alias("ids"))
+    each = each.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0))).orderBy("shard")
+    each.coalesce(1).write.parquet(f"{path}/directory")
 
 
 def read_store(spark: SparkSession, path: str, width: int) -> DataFrame:
     """key, shard, start, n_tokens and ids_crc32 of each document, by keyed access to the files of the store."""
-    keys = spark.read.schema("key long, shard int, copy long, n long").parquet(f"{path}/keys")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    starts = keys.groupBy("shard").agg(F.sum("n").alias("total")).select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    keys = spark.read.schema(KEYS).parquet(f"{path}/keys")
+    starts = spark.read.schema(DIRECTORY).parquet(f"{path}/directory").select("shard", F.col("before").alias("base"))
     # Rows stay where their shard's file of keys put them: each task reads the shards that it meets.
-    asked = keys.join(F.broadcast(starts), "shard").select("key", "shard", "base", "copy")
+    asked = keys.join(F.broadcast(starts), "shard").select("key", "shard", "base", "copy")  # a row a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(path)
         at, index, ids = -1, None, None
         for b in batches:
             shards, bases, copies = (b.column(k).to_numpy() for k in (1, 2, 3))
-            keys = b.column(0).fill_null(-(2**63)).to_numpy()
+            keys = b.column(0).fill_null(NULL_KEY).to_numpy()
             start, n, crc = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for shard in np.unique(shards):
                 if shard != at:
@@ -326,30 +376,56 @@ def read_store(spark: SparkSession, path: str, width: int) -> DataFrame:
                 place = index.find(keys[rows])
                 if (place < 0).any():
                     raise KeyError(f"shard {shard} lacks a key of its list")
-                for i, p in zip(rows, (place + copies[rows]).tolist(), strict=True):
-                    begin, end = int(index.ends[p - 1]) if p else 0, int(index.ends[p])
-                    raw = np.frombuffer(ids.read_at((end - begin) * width, begin * width), f"<u{width}")
-                    start[i], n[i], crc[i] = bases[i] + begin, end - begin, zlib.crc32(raw.astype("<u4").tobytes())
+                place = place + copies[rows]
+                ends = index.ends[place].astype(np.int64)
+                begins = np.where(place > 0, index.ends[np.maximum(place - 1, 0)], 0).astype(np.int64)
+                start[rows], n[rows] = bases[rows] + begins, ends - begins
+                # Neighbours are read together, READ_BYTES at most at once but for a longer document.
+                order, k = np.argsort(begins, kind="stable"), 0
+                while k < len(order):
+                    low = int(begins[order[k]])
+                    j = k + 1
+                    while j < len(order) and (int(ends[order[j]]) - low) * width <= READ_BYTES:
+                        j += 1
+                    high = int(ends[order[k:j]].max())
+                    raw = np.frombuffer(ids.read_at((high - low) * width, low * width), f"<u{width}").astype("<u4")
+                    for i in order[k:j].tolist():
+                        crc[rows[i]] = zlib.crc32(raw[begins[i] - low : ends[i] - low].tobytes())
+                    k = j
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), pa.array(n), pa.array(crc)], names=["key", "shard", "start", "n_tokens", "ids_crc32"])
 
     return asked.mapInArrow(run, "key long, shard int, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(path: str, shard: int, key: int, width: int) -> list[np.ndarray]:
-    """The ids of the documents with `key` in one shard; none if it isn't there."""
-    fs, root = _store(path)
-    with fs.open_input_stream(f"{root}/{shard:06d}.idx") as f:
-        index = Index.from_bytes(f.read())
-    place = int(index.find(np.array([key], np.int64))[0])
-    if place < 0:
-        return []
-    slot = int(np.flatnonzero(index.first == place)[0])
-    out = []
-    with fs.open_input_file(f"{root}/{shard:06d}.ids") as f:
-        for p in range(place, place + int(index.run[slot])):
-            begin, end = int(index.ends[p - 1]) if p else 0, int(index.ends[p])
-            out.append(np.frombuffer(f.read_at((end - begin) * width, begin * width), f"<u{width}"))
-    return out
+class Reader:
+    """Keyed access to a store from one process. The directory, a row a shard, is kept; nothing else is."""
+
+    def __init__(self, path: str, width: int) -> None:
+        import pyarrow.parquet as pq
+
+        self._fs, self._root = _store(path)
+        self.width = width
+        self.directory = pq.read_table(f"{self._root}/directory", filesystem=self._fs).sort_by("shard").to_pydict()
+
+    def shards(self, key: int) -> range:
+        """Places in the directory of the shards whose keys reach from or below the key to or above it."""
+        from bisect import bisect_left, bisect_right
+
+        return range(bisect_left(self.directory["last"], key), bisect_right(self.directory["first"], key))
+
+    def get(self, key: int | None) -> list[tuple[int, np.ndarray]]:
+        """Each document with the key: how many ids of the store are before it, and its ids."""
+        key, out = NULL_KEY if key is None else key, []
+        for place in self.shards(key):
+            name = f"{self._root}/{self.directory['shard'][place]:06d}"
+            with self._fs.open_input_file(f"{name}.idx") as f:
+                ends = OnDisk(f).ends(key)
+            if len(ends) > 1:
+                with self._fs.open_input_file(f"{name}.ids") as f:
+                    raw = np.frombuffer(f.read_at(int(ends[-1] - ends[0]) * self.width, int(ends[0]) * self.width), f"<u{self.width}")
+                cut = (ends - ends[0]).tolist()
+                out += [(self.directory["before"][place] + int(ends[0]) + a, raw[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -357,5 +433,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "idstore")
     write_store(docs, path, "byte_bpe_50k.json", 2)
     return read_store(spark, path, 2).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
-
-
