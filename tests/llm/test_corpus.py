@@ -1,6 +1,7 @@
 """Decontamination, near copies, sharding, mixing and sketches against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -191,6 +192,41 @@ def test_sharding(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+def test_sharding_against_brute_force(spark):
+    """Small tables: as few documents are cut off from their groups as any placement under the same quotas allows."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        sizes = [rng.randrange(1, 5) for _ in range(rng.randrange(3, 6))]
+        rows = [(10 * g + k, f"group {g}") for g, n in enumerate(sizes) for k in range(n)] + [(900 + i, f"alone {i}") for i in range(rng.randrange(0, 6))]
+        got = sharding.shard_documents(plain.frame(spark, rows), 2)
+        counts = sorted(r["count"] for r in got.groupBy("shard").count().collect())
+        assert len(rows) // 2 in counts and max(counts) - min(counts) <= 1
+        cut = sharding.cut_links(got, plain.frame(spark, rows)).first()["cut_documents"]
+        linked = [n for n in sizes if n > 1]
+        alone = len(rows) - sum(linked)
+        best = len(rows)
+        for split in itertools.product(*[range(n + 1) for n in linked]):  # of each group, how many are in shard 0
+            rest = -(-len(rows) // 2) - sum(split)
+            if 0 <= rest <= alone:
+                best = min(best, sum(min(k, n - k) for k, n in zip(split, linked, strict=True)))
+        assert best <= cut <= best + 1
+
+
+def test_sharding_evens_bytes(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * int(rng.paretovariate(1.1) * 20)) for i in range(1500)] + [(5000 + i, "a hot copy") for i in range(700)]
+    got = sharding.shard_documents(plain.frame(spark, rows)).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    largest = max(len(t) for _, t in rows)
+    assert max(r["n"] for r in got) - min(r["n"] for r in got) <= 1
+    assert max(r["b"] for r in got) - min(r["b"] for r in got) <= max(largest, 0.1 * sum(r["b"] for r in got) / 8)
+
+
+def test_deal():
+    dealt = sharding.deal([(8, 10, 1000), (4, 7, 70), (0, 3, 3)], [8, 6, 6], [0, 500, 0])
+    assert {c: sum(n for _, n in s) for c, s in dealt.items()} == {8: 10, 4: 7, 0: 3}
+    assert [sum(n for s in dealt.values() for i, n in s if i == k) for k in range(3)] == [8, 6, 6]
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight, cap = {s: i % 3 + 1 for i, s in enumerate(names)}, {s: 3 * sizes[s] for s in names}

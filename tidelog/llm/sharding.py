@@ -2,10 +2,13 @@
 
 Documents with equal texts are linked through their group. Each starts in a shard of its hash; in every round documents
 move to the shard where most of their group is, among those with room for it, as far as that shard's quota lets them in, largest first. Rounds
-end when nothing moves, or after `rounds`. Documents without links, and those above a shard's quota, then fill what is
-left of the quotas, so counts differ by one at most (law `rows`) and only groups that meet a full shard are cut.
+end when nothing moves, or after `rounds`, which cuts more groups than need be but breaks no law. What is above a quota
+leaves in the order of its groups, and goes, group after group, to shards with room, so only groups that meet a full
+shard are cut. Documents without links then fill what is left, large ones first, where the bytes are fewest: so counts
+differ by one at most (law `rows`), and bytes are as even as the linked documents leave them.
 
-Rounds work on one row for each group and shard, not on documents: what moves is a number of a group's documents.
+Rounds, quotas and cuts work on one row for each group and shard, not on documents: what moves is a number of a group's
+documents. Documents get a place within their group and first shard, by many tasks for a hot group, and from that place all else.
 
 Results: null text has size 1 and crc32 0 and is linked with other null or empty texts. Repeated rows are documents of
 their own, told apart by nothing, and so are interchangeable. A null doc_id is a document. An empty table gives an empty result.
@@ -13,7 +16,7 @@ their own, told apart by nothing, and so are interchangeable. A null doc_id is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,6 +94,26 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, *, rounds: int = 8, text
     several = _hinted(common.checkpointed(linked.groupBy("grp").agg(F.sum("n").alias("of")).where("of > 1").drop("of")))
     moves = propagated(linked.join(several, "grp"), n_shards, quota, rounds)
 
+    # Of what goes to a shard, blocks stay in order of their groups while its quota lasts; dst is null for the rest.
+    limit = F.element_at(F.array(*map(F.lit, quota)).cast("array<long>"), F.col("dst") + 1)
+    before = _running(moves, ["dst"], F.col("n"), buckets)
+    stays = F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), limit - F.col("before")))
+    cut = before.withColumn("stays", stays)
+    kept = cut.select("grp", "src", "dst", F.col("stays").alias("n")).where("n > 0")
+    over = cut.select("grp", (F.col("n") - F.col("stays")).alias("n"), "src").where("n > 0").groupBy("grp", "src").agg(F.sum("n").alias("n"))
+    over = common.checkpointed(over)
+    held = {r["dst"]: r["n"] for r in kept.groupBy("dst").agg(F.sum("n").alias("n")).collect()}  # a row a shard
+    room = [quota[i] - held.get(i, 0) for i in range(n_shards)]
+    # The rest, one group after the other, fills the rooms one after the other, largest first.
+    spill, edge = [], 0
+    for i in sorted(range(n_shards), key=lambda i: (-room[i], i)):
+        spill.append((edge, edge + room[i], i))
+        edge += room[i]
+    laid = _running(over.withColumn("all", F.lit(0)), ["all"], F.col("n"), buckets)
+    parts = [F.struct(F.lit(i).alias("dst"), F.greatest(F.lit(0).cast("long"), F.least(F.col("before") + F.col("n"), F.lit(high)) - F.greatest(F.col("before"), F.lit(low))).alias("n")) for low, high, i in spill]
+    again = laid.select("grp", "src", F.explode(F.array(*parts)).alias("p")).select("grp", "src", "p.dst", "p.n").where("n > 0")
+    moves = common.checkpointed(kept.unionByName(again).groupBy("grp", "src", "dst").agg(F.sum("n").alias("n")))
+
     # Deal each block's documents to where the block went: the i-th of a (group, src) takes the span that holds i.
     spans = Window.partitionBy("grp", "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
     moves = moves.withColumn("from", F.coalesce(F.sum("n").over(spans), F.lit(0))).withColumn("to", F.col("from") + F.col("n"))
@@ -100,28 +123,66 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, *, rounds: int = 8, text
     members = common.with_slots(base.join(moves.select("grp", "src"), ["grp", "src"], "left_semi"), ["grp", "src"], [F.col("doc_id")], spread, buckets, "i")
     fits = F.filter("spans", lambda s: (s["from"] <= F.col("i")) & (F.col("i") < s["to"]))
     labelled = members.join(moves, ["grp", "src"]).select("doc_id", "size", "text_crc32", "grp", F.element_at(fits, 1)["dst"].alias("shard"))
-    loose = base.join(several, "grp", "left_anti").select("doc_id", "size", "text_crc32", "grp", F.lit(None).cast("int").alias("shard"))
-
-    # Linked documents beyond a quota, and all that have no links, fill the gaps.
-    key = [F.col("grp"), F.col("doc_id")]
-    by_group = F.pmod(F.xxhash64("grp"), F.lit(1 << 40))
-    placed = common.with_slots(labelled, ["shard"], key, by_group, buckets, "place")
-    limit = F.element_at(F.array(*map(F.lit, quota)), F.col("shard") + 1)
-    placed = common.checkpointed(placed.withColumn("shard", F.when(F.col("place") < limit, F.col("shard"))).drop("place"))
-    held = {r["shard"]: r["n"] for r in placed.where("shard is not null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    rest = placed.where("shard is null").unionByName(loose).withColumn("all", F.lit(0))
-    rest = common.with_slots(rest, ["all"], key, by_group, buckets, "place").drop("all")
-    edge, fill = 0, F.lit(n_shards - 1)
-    rules = []
-    for i in range(n_shards):
-        edge += quota[i] - held.get(i, 0)
-        rules.append((edge, i))
-    for e, i in reversed(rules):
-        fill = F.when(F.col("place") < e, F.lit(i)).otherwise(fill)
-    whole = placed.where("shard is not null").unionByName(rest.withColumn("shard", fill.cast("int")).drop("place"))
+    labelled = common.checkpointed(labelled)
+
+    # Documents without links: a class of sizes at a time, to the shards with the fewest bytes that have room.
+    loose = base.join(several, "grp", "left_anti").select("doc_id", "size", "text_crc32", "grp").withColumn("class", F.floor(F.log2("size") * 4).cast("int"))
+    counts = loose.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()  # some 4 for each doubling of sizes
+    own = {r["shard"]: r for r in labelled.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
+    room = [quota[i] - (own[i]["n"] if i in own else 0) for i in range(n_shards)]
+    dealt = deal([(r["class"], r["n"], r["bytes"]) for r in counts], room, [own[i]["bytes"] if i in own else 0 for i in range(n_shards)])
+    placed = common.with_slots(loose, ["class"], [F.col("doc_id"), F.col("grp")], spread, buckets, "place")
+    fill = F.lit(None).cast("int")
+    for size_class, shares in dealt.items():
+        at, within = 0, F.lit(None).cast("int")
+        for shard, n in shares:
+            within = F.when(F.col("place").between(at, at + n - 1), F.lit(shard)).otherwise(within)
+            at += n
+        fill = F.when(F.col("class") == size_class, within).otherwise(fill)
+    whole = labelled.unionByName(placed.withColumn("shard", fill.cast("int")).drop("place", "class"))
     whole = common.with_slots(whole, ["shard"], [F.col("doc_id"), F.col("grp")], spread, buckets, "slot")
     return whole.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _running(df: DataFrame, by: list[str], n: Column, buckets: int) -> DataFrame:
+    """`df`, a row for each group and shard, with `before`: the sum of `n` over rows of the same `by` whose groups come first."""
+    df = df.withColumn("__b", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int"))
+    sums = df.groupBy(*by, "__b").agg(F.sum(n).alias("__s"))
+    first = F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "__b").orderBy("grp", "src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = df.withColumn("__w", within)
+    return ranked.join(sums.withColumn("__f", first).drop("__s"), [*by, "__b"]).withColumn("before", F.col("__f") + F.col("__w")).drop("__b", "__f", "__w")
+
+
+def deal(classes: list[tuple[int, int, int]], room: list[int], held: list[int], pieces: int = 64) -> dict[int, list[tuple[int, int]]]:
+    """class -> (shard, how many) in turn. classes: their number, documents and bytes; room: documents; held: bytes.
+
+    From the largest sizes down, each piece of a class goes where the bytes are fewest among shards with room. Bytes are
+    the class's mean, so the work is on numbers of documents, whatever their count.
+    """
+    room, held, out = list(room), [float(b) for b in held], {}
+    for size_class, n, total in sorted(classes, reverse=True):
+        shares: dict[int, int] = {}
+        step, left = max(1, n // pieces), n
+        while left:
+            shard = min((i for i in range(len(room)) if room[i] > 0), key=lambda i: (held[i], i))
+            take = min(step, left, room[shard])
+            shares[shard] = shares.get(shard, 0) + take
+            room[shard] -= take
+            held[shard] += take * total / n
+            left -= take
+        out[size_class] = sorted(shares.items())
+    return out
+
+
+def cut_links(placed: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """groups, documents, cut_groups and cut_documents of linked texts: how many are in other shards than most of their group."""
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    of = docs.select("doc_id", F.sha2(value.cast("binary"), 256).alias("grp"))
+    each = placed.select("doc_id", "shard").join(of, "doc_id").groupBy("grp", "shard").agg(F.count("*").alias("n"))
+    each = each.groupBy("grp").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1")
+    return each.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.count_if(F.col("most") < F.col("n")).alias("cut_groups"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut_documents"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return shard_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
