@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 from tidelog.llm import common
 
 K, SIZE = 128, 5
+#: Bytes of text that a range of documents holds about, and how many ranges there are at most.
+RANGE_BYTES, MAX_RANGES = 128 << 20, 200_000
+MAX_STEPS = MAX_RANGES.bit_length()
 LONG_MAX = (1 << 63) - 1
 
 
@@ -65,57 +68,48 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def bucket_of(value: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most `value`, by halving."""
-    steps = 1
-    while steps <= len(bounds):
-        steps *= 2
-    padded = F.array(*[F.lit(b).cast("long") for b in bounds], *[F.lit(None).cast("long")] * (steps - len(bounds)))
-    powers, p = [], steps // 2
-    while p:
-        powers.append(p)
-        p //= 2
-    if not powers:
-        return F.lit(0)
+def bucket_of(value: Column, bounds: Column) -> Column:
+    """How many of `bounds`, an ascending array, are at most `value`, by halving."""
+    powers = F.transform(F.sequence(F.lit(MAX_STEPS), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
 
     def step(at: Column, p: Column) -> Column:
-        return F.when(F.get(padded, at + p - 1) <= value, at + p).otherwise(at)
+        return F.when((at + p <= F.size(bounds)) & (F.get(bounds, at + p - 1) <= value), at + p).otherwise(at)
 
-    return F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), step)
+    return F.aggregate(powers, F.lit(0), step)
 
 
 def with_next(df: DataFrame, key: str, tie: str, columns: list[str], n_buckets: int) -> DataFrame:
     """`df` with next_<column>: what the next row has, in descending order of `key`; after the last comes the first.
 
-    Rows are dealt to ranges of the key, so no task sees more than a range. The first row of each range also travels
-    to the range before it, where it is read but not put out. Nulls come last; equal keys go by `tie`.
+    Rows are dealt to ranges of key and tie, so no task sees more than a range, and a key that many rows have is several.
+    The bounds are Spark's own, of a range partitioning of the keys alone. The first row of each range also travels to the
+    range before it, where it is read but not put out. Nulls come last; equal keys go by `tie`; rows equal in both, which
+    nothing tells apart, are in one range.
     """
-    order = F.coalesce(F.bitwise_not(F.col(key)), F.lit(LONG_MAX))
+    order = F.struct(F.coalesce(F.bitwise_not(F.col(key)), F.lit(LONG_MAX)).alias("o"), F.col(tie).alias("t"))
     df = df.withColumn("__o", order)
-    slim = df.select("__o", tie)
-    points = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(slim.agg(F.percentile_approx("__o", F.array(*map(F.lit, points)), F.lit(20 * n_buckets)).alias("q")).first()["q"] or [])) if points else []
-    df = df.withColumn("__b", bucket_of(F.col("__o"), bounds))
-    heads = df.select("__b", "__o", tie).groupBy("__b").agg(F.min(F.struct("__o", F.col(tie).alias("t"))).alias("head")).orderBy("__b").collect()  # a row a range
-    to = [heads[i - 1]["__b"] for i in range(len(heads))]
-    guide = df.sparkSession.createDataFrame(
-        [(r["__b"], r["head"]["__o"], r["head"]["t"], t) for r, t in zip(heads, to, strict=True)], "__b int, __ho long, __ht long, __to int"
-    )
-    df = df.join(F.broadcast(guide), "__b")
-    leads = (F.col("__o") == F.col("__ho")) & F.col(tie).eqNullSafe(F.col("__ht"))
+    ranges = df.select("__o.o", "__o.t").repartitionByRange(max(1, n_buckets), "o", "t").select(F.spark_partition_id().alias("b"), F.struct("o", "t").alias("s"))
+    firsts = ranges.groupBy("b").agg(F.min("s").alias("s"))
+    bounds = common.checkpointed(firsts.agg(F.slice(F.array_sort(F.collect_list("s")), 2, MAX_RANGES).alias("__bounds")))  # an entry a range
+    df = df.crossJoin(F.broadcast(bounds)).withColumn("__b", bucket_of(F.col("__o"), F.col("__bounds"))).drop("__bounds")  # one row
+    heads = common.checkpointed(df.groupBy("__b").agg(F.min("__o").alias("__h")))
+    around = Window.orderBy("__b")  # a row a range
+    before = F.coalesce(F.lag("__b").over(around), F.max("__b").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    df = df.join(F.broadcast(heads.withColumn("__to", before)), "__b")
     place = F.struct(F.col("__b").alias("b"), F.lit(False).alias("ghost"))
-    places = F.when(leads, F.array(place, F.struct(F.col("__to").alias("b"), F.lit(True).alias("ghost")))).otherwise(F.array(place))
+    places = F.when(F.col("__o") == F.col("__h"), F.array(place, F.struct(F.col("__to").alias("b"), F.lit(True).alias("ghost")))).otherwise(F.array(place))
     keep = [c for c in df.columns if not c.startswith("__")]
-    df = df.select(*keep, "__o", F.explode_outer(places).alias("__p"))
-    at = Window.partitionBy("__p.b").orderBy("__p.ghost", "__o", tie)
+    df = df.select(*keep, "__o", F.explode_outer(places).alias("__p")).repartition(max(1, n_buckets), "__p.b")
+    at = Window.partitionBy("__p.b").orderBy("__p.ghost", "__o")
     df = df.select(*keep, "__p", *[F.lead(c).over(at).alias(f"next_{c}") for c in columns])
     return df.where(~F.col("__p.ghost")).drop("__p")
 
 
 def compared(docs: DataFrame, *, k: int = K, size: int = SIZE) -> DataFrame:
     """Each document's sketch against those of its edited text and of the next document, in descending order of doc_id."""
-    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = min(MAX_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES)))
     df = with_sketch(df.withColumn("tie", F.xxhash64("text")), "text", "sketch", k=k, size=size)
     df = with_next(df, "doc_id", "tie", ["text", "sketch"], n_buckets)
     n = F.char_length("text")
