@@ -160,8 +160,9 @@ def _chosen(found: DataFrame, share: float) -> dict[tuple[int, int], list[bytes]
         luck = F.xxhash64("window") / float(1 << 64) + 0.5
         rules = rules | ((F.col("toxic") == toxic) & (F.col("fold") == fold) & ((F.col("d") > edge) | ((F.col("d") == edge) & (luck <= part))))
     out: dict[tuple[int, int], list[bytes]] = {(y, f): [] for y in (0, 1) for f in (0, 1)}
-    for r in found.where(rules).select("toxic", "fold", "window").collect():  # a share of the bounded sample of windows
-        out[r["toxic"], r["fold"]].append(bytes(r["window"]))
+    taken = found.where(rules).select("toxic", "fold", "window").toArrow()  # a share of the bounded sample of windows
+    for toxic, fold, window in zip(*(c.to_pylist() for c in taken.columns), strict=True):
+        out[toxic, fold].append(window)
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -237,7 +238,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, window
     if len(by) < 2:
         return Model(blank, blank, blank, np.zeros(0), float(share))
     found = training_windows(sample, windows)
-    plain = sorted(bytes(r["window"]) for r in found.where("toxic = 0").select("window").collect())  # about `windows` rows
+    plain = sorted(found.where("toxic = 0").select("window").toArrow()["window"].to_pylist())  # about `windows` of some 20 bytes
     base = dictionary(BASE_BYTES, plain, BASE_SEGMENT)
     del plain
 
