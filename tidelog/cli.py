@@ -24,18 +24,45 @@ def id_text(value) -> str:
         return "true" if value else "false"
     if isinstance(value, (int, float)):
         return number_text(float(value)) if math.isfinite(float(value)) else str(value)
-    return value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+    return value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
 
 
-def documents(text: str):
-    """The JSON objects that follow one another in a text."""
-    decoder, at = json.JSONDecoder(), 0
-    while at < len(text):
-        if text[at].isspace():
-            at += 1
-            continue
-        value, at = decoder.raw_decode(text, at)
-        yield value
+def documents(stream, size: int = 1 << 20):
+    """The JSON objects that follow one another in a stream, which is read in parts."""
+    decoder, rest, more = json.JSONDecoder(), "", True
+    while more or rest:
+        part = stream.read(size) if more else ""
+        more, rest = bool(part), (rest + part).lstrip()
+        at = 0
+        while at < len(rest):
+            try:
+                value, end = decoder.raw_decode(rest, at)
+            except json.JSONDecodeError:
+                if not more:
+                    raise
+                break  # the rest of it is still to come
+            if more and end == len(rest) and not isinstance(value, (dict, list, str)):
+                break  # a number may go on
+            yield value
+            at = end
+            while at < len(rest) and rest[at].isspace():
+                at += 1
+        rest = rest[at:]
+
+
+def batches(docs, most: int = 10_000, size: int = 16 << 20):
+    """Lists of (key, document, place), each of `most` documents or `size` bytes about; a document without _id is an error."""
+    rows, held = [], 0
+    for i, doc in enumerate(docs):
+        if not isinstance(doc, dict) or "_id" not in doc:
+            raise ValueError(f"document {i} has no _id")
+        rows.append((id_text(doc["_id"]), bytearray(json.dumps(doc, sort_keys=True).encode()), i))
+        held += len(rows[-1][1])
+        if len(rows) >= most or held >= size:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
 
 
 def parser() -> argparse.ArgumentParser:
@@ -76,15 +103,16 @@ def main(argv: list[str] | None = None, spark=None, stdin=None, out=None) -> int
         return 0
     store = Store(spark, args.store, options)
     if args.command == "put":
-        rows = []
-        for i, doc in enumerate(documents(stdin.read())):
-            if "_id" not in doc:
-                print(f"document {i} has no _id", file=sys.stderr)
-                return 1
-            rows.append((id_text(doc["_id"]), bytearray(json.dumps(doc, sort_keys=True).encode()), i))
-        if rows:
-            stats = store.put_batch(spark.createDataFrame(rows, "key string, doc binary, i long"), order="i")
-            print(f"put {stats.records} documents into {stats.destination}", file=out)
+        n, to = 0, ""
+        try:
+            for rows in batches(documents(stdin)):
+                stats = store.put_batch(spark.createDataFrame(rows, "key string, doc binary, i long"), order="i")
+                n, to = n + stats.records, stats.destination
+        except ValueError as e:
+            print(f"{e}; {n} documents were put before", file=sys.stderr)
+            return 1
+        if n:
+            print(f"put {n} documents into {to}", file=out)
     elif args.command == "get":
         try:
             value, stats = store.get(args.key)

@@ -40,6 +40,16 @@ def in_range(key: Column, start: str = "", end: str = "") -> Column:
     return out
 
 
+def place_in(value: Column, ascending: Column) -> Column:
+    """How many entries of an ascending array are at most `value`, by halving; arrays of fewer than 2**20 entries."""
+    steps = F.transform(F.sequence(F.lit(19), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when((at + width <= F.size(ascending)) & (F.get(ascending, at + width - 1) <= value), at + width).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def segment_name(created: Column) -> Column:
     """The file name that a segment's time of creation gives."""
     return F.concat(F.unix_millis(created.cast("timestamp")).cast("string"), F.lit(".sstable"))
@@ -69,18 +79,32 @@ def number_text(value: float) -> str:
 
 
 def json_key(document: Column, field: str = "_id") -> Column:
-    """The key of a JSON document: its text, true, false, or number; numbers from 1e6 on have an exponent."""
+    """The key of a JSON document: its text, true, false, or number, as number_text() writes it; else its JSON.
+
+    Whether a value is text is asked of its JSON type at the top level, so neither nested fields nor text that looks like
+    a number mislead.
+    """
     raw = F.get_json_object(document, f"$.{field}")
-    number = raw.try_cast("double")
-    quoted = document.rlike(rf'"{field}"\s*:\s*"')
-    small = (F.abs(number) < 1e6) & (number == F.floor(number))
-    parts = F.regexp_extract(F.format_string("%.16e", number), r"^(-?)(\d)\.(\d*?)0*e([+-]\d+)$", 0)
-    head = F.regexp_extract(parts, r"^(-?\d)", 1)
-    tail = F.regexp_extract(parts, r"\.(\d*?)0*e", 1)
-    power = F.regexp_extract(parts, r"e([+-]\d+)$", 1)
-    exact = F.concat(head, F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), F.lit("e"), power)
-    plain = F.when(small, number.cast("bigint").cast("string")).when((F.abs(number) >= 1e6) & (number == F.floor(number)), exact).otherwise(raw)
-    return F.when(quoted | number.isNull(), raw).otherwise(plain)
+    shown = F.get(F.from_json(F.concat(F.lit("["), document, F.lit("]")), f"array<struct<`{field}`: variant>>"), 0)[field]
+    kind = F.schema_of_variant(shown)
+    number = F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), raw.try_cast("double"))
+    # Seventeen digits name every double; the fewest that read back as the same one are its text.
+    tries = F.array(*[F.format_string(f"%.{d}e", number) for d in range(17)])
+    least = F.element_at(F.filter(tries, lambda t: t.try_cast("double") == number), 1)
+    sign, power = F.when(least.startswith("-"), "-").otherwise(""), F.regexp_extract(least, r"e([+-]\d+)$", 1).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(least, r"e.*$", ""), r"[-.]", ""), r"0+$", "")
+    n = F.length(digits)
+    exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    long_power = F.concat(F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
+    exponent = F.when(F.abs(power) < 100, exponent).otherwise(long_power)
+    scientific = F.concat(sign, F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise(""), F.lit("e"), exponent)
+    whole = F.concat(sign, F.rpad(digits, power + 1, "0"))
+    pointed = F.concat(sign, F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(400)))
+    below = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    zero = F.when(raw.startswith("-"), "-0").otherwise("0")
+    small = (F.abs(number) < 1e6) & (number == F.floor(number))  # most keys; the tries are for the others
+    text = F.when(number == 0, zero).when(small, number.cast("bigint").cast("string")).when((power < -4) | (power >= 6), scientific).when(power < 0, below).when(n <= power + 1, whole).otherwise(pointed)
+    return F.when(number.isNull(), raw).otherwise(text)
 
 
 def parse_time(text: str) -> datetime:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,23 +62,27 @@ def select(meta: DataFrame, options: Options, tie: str = "blob") -> DataFrame:
     """`meta` rows to compact, with `ord`, their place from 1; no rows if the minimum isn't met.
 
     Files are taken in order. One that would push the sum above max_size is passed over and the search goes on; at
-    max_files it ends. With a size limit that is a fold over the sorted manifest, which has one entry a segment.
+    max_files it ends. With a size limit that is one pass over the sorted manifest, which has one entry a segment.
     """
     asked = M.pruned_by_time(meta, options.min_time, options.max_time)
     place = F.row_number().over(Window.orderBy(*ordering(options.order, tie))).cast("bigint")
     placed = asked.withColumn("ord", place)
     if options.max_size:
-        entries = placed.agg(F.array_sort(F.collect_list(F.struct("ord", "size"))).alias("files"))
-        start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("taken"))
-
-        def step(acc: Column, x: Column) -> Column:
-            full = F.size(acc["taken"]) >= options.max_files if options.max_files else F.lit(False)
-            skip = full | (acc["total"] + x["size"] > options.max_size)
-            more = F.struct((acc["total"] + x["size"]).alias("total"), F.concat(acc["taken"], F.array(x["ord"])).alias("taken"))
-            return F.when(skip, acc).otherwise(more)
-
-        taken = entries.select(F.aggregate("files", start, step)["taken"].alias("t")).select(F.posexplode("t").alias("i", "was"))
-        placed = placed.withColumnRenamed("ord", "was").join(taken, "was").drop("was").withColumn("ord", (F.col("i") + 1).cast("bigint")).drop("i")
+        most = options.max_files or float("inf")
+
+        def fold(batches):
+            total = taken = 0
+            for b in batches:
+                kept, ords = [], []
+                for i, size in enumerate(b.column(b.schema.get_field_index("size")).to_pylist()):
+                    if taken < most and total + size <= options.max_size:
+                        total, taken = total + size, taken + 1
+                        kept.append(i)
+                        ords.append(taken)
+                b = b.take(pa.array(kept, pa.int64()))
+                yield b.set_column(b.schema.get_field_index("ord"), "ord", pa.array(ords, pa.int64()))
+
+        placed = placed.coalesce(1).sortWithinPartitions("ord").mapInArrow(fold, placed.schema)
     elif options.max_files:
         placed = placed.where(F.col("ord") <= options.max_files)
     if options.min_files or options.min_size:

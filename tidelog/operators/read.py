@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.functions.scalar import in_range
+from tidelog.functions.scalar import in_range, place_in
 from tidelog.schema import HEADER_BYTES, record_bytes
 
 #: Orders versions of a key where the log has these columns: time, then what makes the order total.
@@ -19,13 +19,16 @@ def recency(log: DataFrame, first: Sequence[str] = ()) -> Column:
     return F.struct(*first, "ts", *[c for c in TIES if c in log.columns])
 
 
-#: Rows that are broadcast at most where nothing else bounds a side.
-BROADCAST_ROWS = 100_000
+#: Keys that are asked for at once by an array that goes to every task; more are joined instead.
+ASKED_KEYS = 100_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if a count finds it small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def asked_array(keys: DataFrame) -> DataFrame | None:
+    """One row with `asked`, the distinct keys ascending, or nothing where they are too many for one."""
+    distinct = keys.select("key").where("key is not null").distinct()
+    if distinct.limit(ASKED_KEYS + 1).count() > ASKED_KEYS:
+        return None
+    return distinct.agg(F.array_sort(F.collect_list("key")).alias("asked"))
 
 
 def newest(log: DataFrame, first: Sequence[str] = ()) -> DataFrame:
@@ -95,15 +98,12 @@ def get_stats(log: DataFrame, keys: DataFrame, every: int = 8) -> DataFrame:
     """key, blobs_fetched, blobs_skipped, records_scanned of a point read that visits each segment whose key range holds the key.
 
     A segment without the key is skipped by its filter. In the others reading begins at the last index entry below the
-    key and ends at the key's first record. All records before that one are below the key, so its place tells which
-    entry that is. Only zone maps, one row a segment, are broadcast.
+    key and ends at the key's first record. All records before that one are below the key, so how many these are tells
+    which entry that is: records are counted between the asked keys, by an aggregate that sends a row for each segment
+    and gap between asked keys, and nothing of the log is sorted.
     """
-    placed = positions(log)
-    asked = keys.select("key").distinct()
-    zone = log.groupBy("blob").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    candidate = asked.join(small(zone), F.col("key").between(F.col("lo"), F.col("hi"))).select("blob", "key")
-    first = placed.join(asked, "key", "left_semi").groupBy("blob", "key").agg(F.min("rn").alias("at"))
-    each = candidate.join(first, ["blob", "key"], "left")
+    array = asked_array(keys)
+    each = _counted(log, array) if array is not None else _ranked(log, keys)
     entry = F.when(F.col("at") > 1, F.floor((F.col("at") - 2) / every) * every + 1).otherwise(1)
     scanned = F.when(F.col("at").isNotNull(), F.col("at") - entry + 1)
     return each.groupBy("key").agg(
@@ -113,6 +113,32 @@ def get_stats(log: DataFrame, keys: DataFrame, every: int = 8) -> DataFrame:
     )
 
 
+def _counted(log: DataFrame, array: DataFrame) -> DataFrame:
+    """blob, key, at: the place of a key's first record in each segment whose range holds it, null where it isn't."""
+    placed = log.select("blob", "key").crossJoin(F.broadcast(array)).withColumn("p", place_in(F.col("key"), F.col("asked")))  # one row
+    hit = F.coalesce(F.get("asked", F.col("p") - 1) == F.col("key"), F.lit(False))
+    gaps = placed.groupBy("blob", "p").agg(F.count("*").alias("n"), F.max(hit).alias("hit"), F.min("key").alias("lo"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("blob").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # `hit` tells that the gap's key is there; its records are the gap's first.
+    gaps = gaps.withColumn("before", before)
+    found = F.when(F.col("hit"), F.struct("p", (F.col("before") + 1).alias("at")))
+    whole = gaps.groupBy("blob").agg(F.min("p").alias("first"), F.min("lo").alias("lo"), F.max("p").alias("last"), F.array_sort(F.collect_list(found)).alias("found"))
+    # The range of a segment holds the asked keys from its first key on, itself included, up to its last key.
+    whole = whole.crossJoin(F.broadcast(array)).withColumn("from", F.col("first") - F.coalesce(F.get("asked", F.col("first") - 1) == F.col("lo"), F.lit(False)).cast("int"))
+    inside = whole.where("last > from").select("blob", "asked", "found", F.explode(F.sequence(F.col("from") + 1, F.col("last"))).alias("p"))
+    at = F.get(F.filter("found", lambda x: x["p"] == F.col("p")), 0)["at"]
+    return inside.select("blob", F.get("asked", F.col("p") - 1).alias("key"), at.alias("at"))
+
+
+def _ranked(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """What _counted gives, for more keys than one array holds: by ranks of all records."""
+    asked = keys.select("key").distinct()
+    zone = log.groupBy("blob").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    candidate = asked.join(zone, F.col("key").between(F.col("lo"), F.col("hi"))).select("blob", "key")
+    first = positions(log).join(asked, "key", "left_semi").groupBy("blob", "key").agg(F.min("rn").alias("at"))
+    return candidate.join(first, ["blob", "key"], "left")
+
+
 def scan_stats(log: DataFrame, is_memtable: Column, start: str = "", end: str = "") -> DataFrame:
     """records_returned, memtables_read, sstables_read of a scan; segments outside the range aren't read."""
     returned = scan(log, start, end).agg(F.count("*").alias("records_returned"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.schema import DELTA_LIMIT, estimated_bytes
 from tidelog.sources import events
@@ -15,25 +17,56 @@ from tidelog.sources import events
 def admitted(log: DataFrame, order: str, limit: int = DELTA_LIMIT) -> DataFrame:
     """The records that a delta with room for `limit` estimated bytes takes, in order; a refused one takes no room.
 
-    Whether a record fits depends on which ones before it did, so one pass in order decides. The pass ends up in one
-    task, but what a delta holds is bounded by its limit, and only sizes go through it until then.
+    Whether a record fits depends on which ones before it did. Records are dealt to ranges of the order; a range that fits
+    whole is taken whole and one whose smallest record doesn't fit is left out, by sums alone. Only a range in between is
+    walked, one at a time, without those that are too large by themselves, so no task sees more than a range.
     """
-    sized = log.withColumn("__est", estimated_bytes(F.col("key"), F.col("doc")))
-    # Records larger than the limit are never taken; nor is any, once less room is left than the smallest needs.
-    sized = sized.where(F.col("__est") <= limit).coalesce(1).sortWithinPartitions(order)
-    schema = sized.schema
+    sized = log.withColumn("__est", estimated_bytes(F.col("key"), F.col("doc"))).where(F.col("__est") <= limit)
+    path = _scratch(log.sparkSession, "admission")
+    sized.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    ranges = log.sparkSession.read.schema(T.StructType([*sized.schema.fields, T.StructField("__p", T.IntegerType())])).parquet(path)
+    sums = ranges.groupBy("__p").agg(F.sum("__est").alias("n"), F.min("__est").alias("least")).orderBy("__p").collect()  # a row a range
+    total, whole, walked = 0, [], []
+    for r in sums:
+        if total + r["n"] <= limit:
+            whole.append(r["__p"])
+            total += r["n"]
+        elif total + r["least"] <= limit:
+            part = _walked(ranges.where(F.col("__p") == r["__p"]), order, limit - total)
+            part.write.parquet(f"{path}-{r['__p']}")
+            part = log.sparkSession.read.schema(ranges.schema).parquet(f"{path}-{r['__p']}")
+            total += part.agg(F.coalesce(F.sum("__est"), F.lit(0))).first()[0]
+            walked.append(part)
+    out = ranges.where(F.col("__p").isin(whole)) if whole else ranges.limit(0)
+    for part in walked:
+        out = out.unionByName(part)
+    return out.drop("__est", "__p")
+
+
+def _walked(part: DataFrame, order: str, room: int) -> DataFrame:
+    """The records of one range that fit in `room`, by one pass in order."""
 
     def fold(batches: Iterator) -> Iterator:
         total = 0
-        for pdf in batches:
+        for b in batches:
             keep = []
-            for n in pdf["__est"]:
-                ok = total + n <= limit
-                total += n if ok else 0
-                keep.append(ok)
-            yield pdf[keep]
+            for i, n in enumerate(b.column(b.schema.get_field_index("__est")).to_pylist()):
+                if total + n <= room:
+                    total += n
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
 
-    return sized.mapInPandas(fold, schema).drop("__est")
+    return part.where(F.col("__est") <= room).coalesce(1).sortWithinPartitions(order).mapInArrow(fold, part.schema)
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A new folder's name where driver and executors both write."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file:///tmp/checkpoints"
+    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def ingested(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -41,8 +74,7 @@ def ingested(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
 
     A batch that is retried overwrites its own folder, so each change is in the delta once.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = path or f"{shared.rstrip('/')}/delta-{uuid.uuid4().hex}"
+    path = path or _scratch(spark, "delta")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
