@@ -35,3 +35,7 @@ class FilterNotFound(KeyError):
 
 class Conflict(RuntimeError):
     """Another writer changed the manifest first, or a segment to be removed isn't in it."""
+
+
+class Cancelled(RuntimeError):
+    """A deadline passed, or another thread cancelled what ran."""

@@ -113,6 +113,12 @@ def get_stats(log: DataFrame, keys: DataFrame, every: int = 8) -> DataFrame:
     )
 
 
+def scanned_totals(stats: DataFrame) -> DataFrame:
+    """What point reads cost in all: keys, and the sum, largest and mean of their records scanned. stats: rows of get_stats()."""
+    n = F.col("records_scanned")
+    return stats.agg(F.count("*").alias("keys"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("total_scanned"), F.max(n).alias("max_scanned"), F.avg(n).alias("mean_scanned"))
+
+
 def _counted(log: DataFrame, array: DataFrame) -> DataFrame:
     """blob, key, at: the place of a key's first record in each segment whose range holds it, null where it isn't."""
     placed = log.select("blob", "key").crossJoin(F.broadcast(array)).withColumn("p", place_in(F.col("key"), F.col("asked")))  # one row

@@ -52,6 +52,15 @@ MERGED = f"""merged as (
   select min(key) as min_key, max(key) as max_key, min(ts) as min_time, max(ts) as max_time, count(*) as count, cast(sum({BYTES}) + 6 as bigint) as size
   from log where blob in (select blob from meta order by created, blob limit 5))"""
 
+ASKED = "asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer)"
+PARTS = "case when blob <= '2024-01-10' then 1 when blob <= '2024-01-20' then 2 else 3 end"
+
+
+def _live(where: str = "true") -> str:
+    """What a store that took the events in order has: time, then event_id, tell which came last."""
+    return f"with {LOG} select key, doc from {_newest(where, order='ts desc, event_id desc')} where octet_length(encode(doc)) > 0"
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_full": _scan(),
     "scan_range": _scan("key >= '000010' and key < '000050'"),
@@ -70,7 +79,7 @@ z as (select blob, min(key) as lo, max(key) as hi from log group by blob)
 select (select n from r) as records_returned, count(*) filter (blob = '2024-01-30') as memtables_read,
        count(*) filter (blob <> '2024-01-30' and hi >= '000010' and lo < '000050') as sstables_read from z""",
     "get_point": f"with {LOG} select key, doc, ts from {_newest("key = '000007'")} where not tombstone",
-    "get_batch": f"""with {LOG}, asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer where c_custkey <= 200),
+    "get_batch": f"""with {LOG}, asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer),
 hit as (select key, doc, ts from {_newest()} where not tombstone)
 select a.key, h.doc, h.ts, h.key is not null as found from asked a left join hit h on h.key = a.key""",
     "get_memtable_first": f"with {LOG} select key, doc, ts from {_newest(order="(blob = '2024-01-15') desc, ts desc")} where not tombstone",
@@ -129,4 +138,23 @@ f as (
 select o.event_id, o.key from f join o on o.i = f.i where f.took""",
     "put_json_keys": "select json_extract_string(props, '$.k') as key, count(*) as puts from events group by 1",
     "segment_names": f"with {LOG}, {META} select blob, cast(epoch_ms(created) as varchar) || '.sstable' as name from meta",
+    "get_stats_totals": f"""with {LOG}, {META}, {PLACED}, {ASKED}, probe as (select key as k from asked),
+c as (select blob, k from meta, probe where k between min_key and max_key),
+f as (select blob, key as k, min(rn) as at from placed group by all),
+x as (select c.k, sum(case when f.at is not null then f.at - case when f.at > 1 then ((f.at - 2) // 8) * 8 + 1 else 1 end + 1 else 0 end) as n
+      from c left join f on f.blob = c.blob and f.k = c.k group by c.k)
+select count(*) as keys, cast(coalesce(sum(n), 0) as bigint) as total_scanned, cast(max(n) as bigint) as max_scanned, avg(n) as mean_scanned from x""",
+    "store_scan": _live(),
+    "store_scan_range": _live("key >= '000010' and key < '000050'"),
+    "store_compacted": _live(),
+    "store_newest_versions": f"""with {LOG}, v as (select *, row_number() over (partition by key order by ts desc, event_id desc) as v from log)
+select key, count(*) as versions, count(*) filter (tombstone) as deletes from v where v <= 2 group by key""",
+    "store_get_batch": f"""with {LOG}, {ASKED}, hit as (select key, doc from {_newest(order="ts desc, event_id desc")} where not tombstone)
+select a.key, h.doc, h.key is not null as found from asked a left join hit h on h.key = a.key""",
+    "store_meta": f"""with {LOG} select min(key) as min_key, max(key) as max_key, count(*) as count, cast(sum({BYTES}) + 6 as bigint) as size from log group by {PARTS}""",
+    "store_index": f"""with {LOG}, p as (
+  select key, row_number() over w as rn,
+         cast(6 + coalesce(sum({BYTES}) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
+  from log window w as (order by key, ts desc, event_id desc))
+select key, rn, "offset" from p where (rn - 1) % 32 = 0""",
 }

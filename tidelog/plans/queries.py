@@ -14,6 +14,7 @@ from tidelog.operators import access, compact, read
 from tidelog.operators import meta as M
 from tidelog.schema import estimated_bytes
 from tidelog.sources import events
+from tidelog.sources.store import Store
 from tidelog.streaming import ingest
 
 HELD_BACK, LAST, FIRST = "2024-01-15", "2024-01-30", "2024-01-01"
@@ -69,7 +70,7 @@ def get_point(spark, d):
 
 
 def get_batch(spark, d):
-    asked = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey <= 200").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("key"))
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("key"))
     return read.get_batch(events.log(spark, d), asked)
 
 
@@ -90,6 +91,11 @@ def get_stats(spark, d):
     return read.get_stats(events.log(spark, d), _keys(spark, PROBES))
 
 
+def get_stats_totals(spark, d):
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("key"))
+    return read.scanned_totals(read.get_stats(events.log(spark, d), asked))
+
+
 def merge_all_versions(spark, d):
     log = events.log(spark, d)
     days = [log.where(F.col("blob") == day) for day in (FIRST, "2024-01-05", "2024-01-10")]
@@ -200,6 +206,56 @@ def stream_ingest(spark, d):
     return read.scan(ingest.ingested(spark, d))
 
 
+def _replayed(spark, d, flushed: int = 2) -> Store:
+    """A new store into which all events were written in order, in three batches, of which the first ones were flushed."""
+    store = Store.init(spark, ingest.scratch(spark, "store"))
+    log = events.as_log(events.read(spark, d), "event_id").select("key", "doc", "blob", F.struct("ts", "event_id").alias("at"))
+    for k, part in enumerate((F.col("blob") <= "2024-01-10", F.col("blob").between("2024-01-11", "2024-01-20"), F.col("blob") > "2024-01-20")):
+        store.write_batch(log.where(part), "at")
+        if k < flushed:
+            store.flush()
+    return store
+
+
+def store_scan(spark, d):
+    return _replayed(spark, d).scan().rows.select("key", F.col("doc").cast("string").alias("doc"))
+
+
+def store_scan_range(spark, d):
+    return _replayed(spark, d).scan("000010", "000050").rows.select("key", F.col("doc").cast("string").alias("doc"))
+
+
+def store_compacted(spark, d):
+    store = _replayed(spark, d, flushed=3)
+    store.compact(compact.Options(min_files=3))
+    store.vacuum()
+    return store.scan().rows.select("key", F.col("doc").cast("string").alias("doc"))
+
+
+def store_newest_versions(spark, d):
+    store = _replayed(spark, d, flushed=3)
+    store.compact(compact.Options(gc=compact.GCPolicy(max_versions=2)))
+    log = store.log(store.manifest())[0]
+    return log.groupBy("key").agg(F.count("*").alias("versions"), F.count_if("tombstone").alias("deletes"))
+
+
+def store_get_batch(spark, d):
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("key"))
+    return _replayed(spark, d).get_batch(asked).select("key", F.col("doc").cast("string").alias("doc"), "found")
+
+
+def store_meta(spark, d):
+    store = _replayed(spark, d, flushed=3)
+    return store.meta().select("min_key", "max_key", "count", "size")
+
+
+def store_index(spark, d):
+    store = _replayed(spark, d, flushed=3)
+    store.compact(compact.Options())
+    names = [b["blob_id"] for b in store.manifest().blobs]
+    return spark.read.parquet(*[f"{store.path}/index/blob_id={n}" for n in names]).select("key", "rn", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_full": scan_full,
     "scan_range": scan_range,
@@ -241,4 +297,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segment_names": segment_names,
     "read_as_of": read_as_of,
     "stream_ingest": stream_ingest,
+    "get_stats_totals": get_stats_totals,
+    "store_scan": store_scan,
+    "store_scan_range": store_scan_range,
+    "store_compacted": store_compacted,
+    "store_newest_versions": store_newest_versions,
+    "store_get_batch": store_get_batch,
+    "store_meta": store_meta,
+    "store_index": store_index,
 }

@@ -22,7 +22,7 @@ def admitted(log: DataFrame, order: str, limit: int = DELTA_LIMIT) -> DataFrame:
     walked, one at a time, without those that are too large by themselves, so no task sees more than a range.
     """
     sized = log.withColumn("__est", estimated_bytes(F.col("key"), F.col("doc"))).where(F.col("__est") <= limit)
-    path = _scratch(log.sparkSession, "admission")
+    path = scratch(log.sparkSession, "admission")
     sized.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
     ranges = log.sparkSession.read.schema(T.StructType([*sized.schema.fields, T.StructField("__p", T.IntegerType())])).parquet(path)
     sums = ranges.groupBy("__p").agg(F.sum("__est").alias("n"), F.min("__est").alias("least")).orderBy("__p").collect()  # a row a range
@@ -59,7 +59,7 @@ def _walked(part: DataFrame, order: str, room: int) -> DataFrame:
     return part.where(F.col("__est") <= room).coalesce(1).sortWithinPartitions(order).mapInArrow(fold, part.schema)
 
 
-def _scratch(spark: SparkSession, what: str) -> str:
+def scratch(spark: SparkSession, what: str) -> str:
     """A new folder's name where driver and executors both write."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
@@ -74,7 +74,7 @@ def ingested(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
 
     A batch that is retried overwrites its own folder, so each change is in the delta once.
     """
-    path = path or _scratch(spark, "delta")
+    path = path or scratch(spark, "delta")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
