@@ -6,7 +6,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,6 +59,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, what: str, *totals: Column) -> tuple[DataFrame, dict]:
+    """`df` as a Parquet table in the shared folder, and totals of its rows, by one job. A retry may count rows twice."""
+    seen = Observation()
+    return written(df.observe(seen, *totals), what), seen.get
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. lower() is taken where every character is ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

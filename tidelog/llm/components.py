@@ -17,8 +17,7 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    edges = common.checkpointed(edges)
-    mark = _mark(edges)
+    edges, mark = _marked(edges)
     for k in range(max_rounds + 1):
         if not mark[0]:
             break
@@ -32,15 +31,15 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = common.checkpointed(small.where("a <> b").distinct())
-        now = _mark(edges)
+        edges, now = _marked(small.where("a <> b").distinct())
         if now == mark:
             break
         mark = now
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(edges.select(b.alias("node"), b.alias("root")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Changes whenever the links do: their number and a hash sum."""
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-    return r["n"], r["s"]
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, and what changes whenever they do: their number and a hash sum."""
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+    edges, seen = common.measured(edges, "links", F.count(F.lit(1)).alias("n"), total.alias("s"))
+    return edges, (seen["n"], seen["s"])

@@ -132,18 +132,24 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, *, rounds: int = 8, text
     room = [quota[i] - (own[i]["n"] if i in own else 0) for i in range(n_shards)]
     dealt = deal([(r["class"], r["n"], r["bytes"]) for r in counts], room, [own[i]["bytes"] if i in own else 0 for i in range(n_shards)])
     placed = common.with_slots(loose, ["class"], [F.col("doc_id"), F.col("grp")], spread, buckets, "place")
-    fill = F.lit(None).cast("int")
-    for size_class, shares in dealt.items():
-        at, within = 0, F.lit(None).cast("int")
-        for shard, n in shares:
-            within = F.when(F.col("place").between(at, at + n - 1), F.lit(shard)).otherwise(within)
+    shares = []
+    for size_class, parts in dealt.items():
+        at = 0
+        for shard, n in parts:
+            shares.append((size_class, at, at + n, shard))
             at += n
-        fill = F.when(F.col("class") == size_class, within).otherwise(fill)
-    whole = labelled.unionByName(placed.withColumn("shard", fill.cast("int")).drop("place", "class"))
+    shares = df_of(docs, shares, "class int, low long, high long, dst int").groupBy("class").agg(F.collect_list(F.struct("low", "high", "dst")).alias("shares"))
+    mine = F.filter("shares", lambda x: (x["low"] <= F.col("place")) & (F.col("place") < x["high"]))
+    placed = placed.join(F.broadcast(shares), "class").withColumn("shard", F.element_at(mine, 1)["dst"])  # a row a class
+    whole = labelled.unionByName(placed.drop("place", "class", "shares"))
     whole = common.with_slots(whole, ["shard"], [F.col("doc_id"), F.col("grp")], spread, buckets, "slot")
     return whole.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def df_of(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return docs.sparkSession.createDataFrame(rows, schema)
+
+
 def _running(df: DataFrame, by: list[str], n: Column, buckets: int) -> DataFrame:
     """`df`, a row for each group and shard, with `before`: the sum of `n` over rows of the same `by` whose groups come first."""
     df = df.withColumn("__b", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int"))

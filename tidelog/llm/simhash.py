@@ -43,7 +43,7 @@ BROADCAST_BUCKETS = 500_000
 #: One of so many texts is asked which shingles are frequent, FREQUENT of which are known at most. Only the work depends on it.
 SAMPLED, FREQUENT = 16, 100_000
 #: Turns in which a node is compared with one other before all pairs of different components are.
-TURNS = 2
+TURNS = 1
 #: Rows of texts' keys, 80 bytes each at most, that are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -281,22 +281,23 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
     rows = common.written(rows, "prefixes")
 
     # The fingerprints' links: each node with the first one of its fingerprint, and these with each other.
-    each = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))  # a node has one of each
-    each = common.checkpointed(each)
-    heads = common.checkpointed(each.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("h")).select("fp", "h.*"))
+    once = F.struct(F.count(F.lit(1)).alias("c"), F.min("uid").alias("own"))
+    each = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), once.alias("rows"))  # a node has one fp and n
+    each = common.written(each, "nodes")
+    heads = common.written(each.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("h")).select("fp", "h.*"), "heads")
     alike = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6
     stars = each.join(heads.select("fp", F.col("node").alias("x"), F.col("n").alias("nx")), "fp").where("node <> x").select("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny"))
-    linked = common.checkpointed(links(heads.select("fp")))
+    linked = links(heads.select("fp"))
     linked = linked.join(heads.selectExpr("fp a", "node x", "n nx"), "a").join(heads.selectExpr("fp b", "node y", "n ny"), "b").select("x", "y", "nx", "ny")
     pairs = stars.unionByName(linked).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = common.checkpointed(pairs)
-    true = common.checkpointed(_resembling(docs, rows, tried, similarity, size))
-    roots = common.checkpointed(components(true))
+    tried = common.written(pairs, "tried")
+    true = common.written(_resembling(docs, rows, tried, similarity, size), "true")
+    roots = common.written(components(true), "roots")
 
     # All rows of a node but one are left out; there are few, so prefixes needn't move for it.
-    again = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("uid").alias("uid")).where("c > 1").select("node", F.col("uid").alias("own"))
-    extra = common.checkpointed(rows.select("node", "uid").join(again, "node").where("uid <> own").select("node", "uid"))
-    extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
+    again = each.where("rows.c > 1").select("node", "rows.own")
+    extra, seen = common.measured(rows.select("node", "uid").join(again, "node").where("uid <> own").select("node", "uid"), "extra", F.count(F.lit(1)).alias("n"))
+    extra = F.broadcast(extra) if seen["n"] <= BROADCAST_ROWS else extra
     each = rows.join(extra, ["node", "uid"], "left_anti").select("node", "n", F.posexplode("prefix").alias("at", "h")).repartition("h")
     # Both sides read one exchange, as both need all columns.
     shared = each.groupBy("h").agg(F.count("*").alias("c"), F.max(F.struct("node", "n", "at")).alias("m")).where("c > 1").select("h")
@@ -326,15 +327,15 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
             by = [(f"{c}{s}", F.when(first if s == "x" else ~first, F.col(f"x.{d}")).otherwise(F.col(f"y.{d}"))) for c, d in (("", "node"), ("n", "n"), ("a", "at")) for s in "xy"]
             pairs = met(both.select(*[v.alias(k) for k, v in by]))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = common.checkpointed(pairs)
-        if not pairs.take(1):
+        pairs, seen = common.measured(pairs, "pairs", F.count(F.lit(1)).alias("n"))
+        if not seen["n"]:
             continue  # the next turn has other hubs, the last one all pairs
-        found = common.checkpointed(_resembling(docs, rows, pairs, similarity, size))
+        found, seen = common.measured(_resembling(docs, rows, pairs, similarity, size), "found", F.count(F.lit(1)).alias("n"))
         tried = tried.unionByName(pairs)
         members = left.select("h", "node", "n", "at")  # what meets its own component alone needs no more search
-        if found.take(1):
+        if seen["n"]:
             true = true.unionByName(found)
-            roots = common.checkpointed(components(true))
+            roots = common.written(components(true), "roots")
     return rows.select("doc_id", "text_key", "node"), roots
 
 
@@ -349,11 +350,13 @@ def _resembling(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity:
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = F.min(F.struct("text_key", F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("one")
-    keys = common.checkpointed(rows.join(asked, "node", "left_semi").groupBy("node").agg(one).select(F.col("one.text_key").alias("__key"), F.col("one.id").alias("__id")))
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    keys = rows.join(asked, "node", "left_semi").groupBy("node").agg(one).select(F.col("one.text_key").alias("__key"), F.col("one.id").alias("__id"))
+    keys, seen = common.measured(keys, "keys", F.count(F.lit(1)).alias("n"))
+    keys = F.broadcast(keys) if seen["n"] <= BROADCAST_ROWS else keys
     texts = docs.select("text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__key"), F.coalesce("doc_id", F.lit(0)).alias("__id"))
-    sets = common.written(texts.join(keys, ["__key", "__id"], "left_semi").select("text").mapInArrow(run, "node long, s array<long>"), "shingles")
-    if sets.groupBy("node").count().where("count > 1").take(1):  # rows that repeat
+    sets = texts.join(keys, ["__key", "__id"], "left_semi").select("text").mapInArrow(run, "node long, s array<long>")
+    sets, have = common.measured(sets, "shingles", F.count(F.lit(1)).alias("n"))
+    if have["n"] > seen["n"]:  # rows that repeat
         sets = sets.dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sx")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sy")), "b")
     same = F.size(F.array_intersect("sx", "sy"))
