@@ -148,8 +148,10 @@ def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int
 
 def clean(docs: DataFrame, items: DataFrame, *, size: int = SIZE) -> DataFrame:
     """`docs` without those that hold a benchmark window."""
-    bad = annotate(docs, items, size=size).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    bad = annotate(docs, items, size=size).where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    # Whole rows travel as one column, so that no name of theirs meets one of these.
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("hash")), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -156,8 +156,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame, *, least: float = 0.0) -> DataFrame:
     """The documents with a language, as far as the model is at least `least` sure of it."""
-    found = predict(docs, trained(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    away = {c: f"__kept_{c}" for c in ("lang_pred", "score") if c in docs.columns}  # the documents' own columns of these names
+    found = predict(docs.withColumnsRenamed(away), trained(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tidelog.llm import common
 
 #: Rows of a bucket of a source's order about, and how many bits number buckets at most.
-BUCKET_ROWS, MAX_BITS = 50_000, 18
+BUCKET_ROWS, MAX_BITS = 2_000, 20
 #: Sources, rows of about 150 bytes, that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 WORDS = r"[^\x20\x09-\x0D]+"

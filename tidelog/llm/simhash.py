@@ -376,11 +376,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = rows.join(best, "root").where(~same).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone")).distinct()
     gone = common.written(gone, "copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    # Whole rows travel as one column, so that no name of theirs meets one of these.
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("key"))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__gone")), "left_anti")
     if rows.groupBy("doc_id", "text_key").count().where("count > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.drop("__key")
+        kept = kept.dropDuplicates(["doc_id", "key"])
+    return kept.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
