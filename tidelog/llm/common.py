@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import os
 import uuid
 from collections.abc import Sequence
@@ -40,12 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: After so many tables the driver's garbage is collected.
+TIDY_EVERY = 6
+_tables = itertools.count(1)
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Now and then let Spark drop what steps that are over have left.
+
+    Shuffle files and broadcasts go when the driver finds their handles to be garbage, which a driver with room to spare
+    doesn't look for in a long row of small jobs.
+    """
+    if next(_tables) % TIDY_EVERY == 0:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder; later jobs don't depend on its lineage."""
     shared = shared_dir(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _tidy(df.sparkSession)
+    return out
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -56,6 +76,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
+    _tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
