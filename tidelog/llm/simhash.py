@@ -42,8 +42,9 @@ BLOCK = 512
 BROADCAST_BUCKETS = 500_000
 #: One of so many texts is asked which shingles are frequent, FREQUENT of which are known at most. Only the work depends on it.
 SAMPLED, FREQUENT = 16, 100_000
-#: Turns in which a node is compared with one other before all pairs of different components are.
-TURNS = 1
+#: Turns in which a node is compared with one other before all pairs of different components are: one at least, and as long
+#: as these pairs would be more than the rows that they come from, but so many at most.
+MAX_TURNS = 10
 #: Rows of texts' keys, 80 bytes each at most, that are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -250,8 +251,8 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
     (the prefix filter), and the first that they share leaves enough after it in both to reach the similarity. The order
     is that of the hashes, with frequent shingles last, so that the shingles of a common passage hardly ever meet.
 
-    Of the nodes that meet in a shingle one is the hub, another in each of TURNS turns, and each node is compared with
-    the hub that it meets most. After that all pairs of different components are compared that share enough of their
+    Of the nodes that meet in a shingle one is the hub, another in each turn, and each node is compared with the hub that
+    it meets most; turns go on while the pairs left are more than the rows. After that all pairs of different components are compared that share enough of their
     prefixes: what two sets share beyond the prefix that ends first is less than ceil(similarity * n). Of the nodes of a
     shingle those of its largest component don't meet each other, so a large group of copies costs no square.
     """
@@ -291,8 +292,7 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
     linked = linked.join(heads.selectExpr("fp a", "node x", "n nx"), "a").join(heads.selectExpr("fp b", "node y", "n ny"), "b").select("x", "y", "nx", "ny")
     pairs = stars.unionByName(linked).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = common.written(pairs, "tried")
-    true = common.written(_resembling(docs, rows, tried, similarity, size), "true")
-    roots = common.written(components(true), "roots")
+    roots = common.written(components(_resembling(docs, rows, tried, similarity, size)), "roots")
 
     # All rows of a node but one are left out; there are few, so prefixes needn't move for it.
     again = each.where("rows.c > 1").select("node", "rows.own")
@@ -311,31 +311,36 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
         beyond = F.ceil(similarity * F.greatest("nx", "ny") - 1e-9) - 1  # shared shingles beyond the prefix that ends first
         return counted.where((F.col("after") >= need) & (F.col("c") + beyond >= need)).select("x", "y", "c")
 
-    for turn in range(TURNS + 1):
+    for turn in range(MAX_TURNS + 1):
         named = members.select("h", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("h")
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "at", "root")).alias("hub")
         hubs = named.groupBy("h").agg(hub, F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h", "hub")
-        left = common.written(named.join(hubs, "h"), "members-left")
-        if turn < TURNS:
+        left, seen = common.measured(named.join(hubs, "h"), "members-left", F.count(F.lit(1)).alias("n"))
+        if not seen["n"]:
+            break
+        largest = left.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.sum("c").alias("m"), F.max("c").alias("c"))
+        largest, squares = common.measured(largest, "largest", F.sum(F.col("m").cast("double") * (F.col("m") - F.col("c"))).alias("n"))
+        last = turn == MAX_TURNS or (turn >= 1 and squares["n"] <= seen["n"])
+        if not last:
             star = left.where("root <> hub.root").selectExpr("hub.node x", "node y", "hub.n nx", "n ny", "hub.at ax", "at ay")
             pairs = met(star).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
         else:
-            largest = left.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
-            sided = common.written(left.drop("hub").join(largest, "h").withColumn("minor", F.col("root") != F.col("major")).drop("major"), "members-sided")
+            sided = common.written(left.drop("hub").join(largest.select("h", "major"), "h").withColumn("minor", F.col("root") != F.col("major")).drop("major"), "members-sided")
             both = sided.alias("x").join(sided.where("minor").alias("y"), "h").where("x.root <> y.root and (not x.minor or x.node < y.node)")
             first = F.col("x.node") < F.col("y.node")
             by = [(f"{c}{s}", F.when(first if s == "x" else ~first, F.col(f"x.{d}")).otherwise(F.col(f"y.{d}"))) for c, d in (("", "node"), ("n", "n"), ("a", "at")) for s in "xy"]
             pairs = met(both.select(*[v.alias(k) for k, v in by]))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs, seen = common.measured(pairs, "pairs", F.count(F.lit(1)).alias("n"))
-        if not seen["n"]:
-            continue  # the next turn has other hubs, the last one all pairs
-        found, seen = common.measured(_resembling(docs, rows, pairs, similarity, size), "found", F.count(F.lit(1)).alias("n"))
-        tried = tried.unionByName(pairs)
         members = left.select("h", "node", "n", "at")  # what meets its own component alone needs no more search
+        pairs, seen = common.measured(pairs, "pairs", F.count(F.lit(1)).alias("n"))
+        if seen["n"]:
+            found, seen = common.measured(_resembling(docs, rows, pairs, similarity, size), "found", F.count(F.lit(1)).alias("n"))
+            tried = tried.unionByName(pairs)
         if seen["n"]:
-            true = true.unionByName(found)
-            roots = common.written(components(true), "roots")
+            # Components so far are stars, so the new links join them in a few rounds.
+            roots = common.written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "roots")
+        if last:
+            break
     return rows.select("doc_id", "text_key", "node"), roots
 
 
