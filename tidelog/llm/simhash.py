@@ -44,7 +44,7 @@ BROADCAST_BUCKETS = 500_000
 SAMPLED, FREQUENT = 16, 100_000
 #: Turns in which a node is compared with one other before all pairs of different components are: one at least, and as long
 #: as these pairs would be more than the rows that they come from, but so many at most.
-MAX_TURNS = 10
+MAX_TURNS = 3
 #: Rows of texts' keys, 80 bytes each at most, that are broadcast.
 BROADCAST_ROWS = 200_000
 
