@@ -188,6 +188,34 @@ def test_get_stats(spark, monkeypatch, many):
     assert (total["keys"], total["total_scanned"], total["max_scanned"]) == (len(want), sum(v[2] for v in want.values()), max(v[2] for v in want.values()))
 
 
+@pytest.mark.parametrize("many", [100_000, 0])
+def test_get_stats_makes_no_row_for_each_key_and_segment(spark, monkeypatch, many):
+    monkeypatch.setattr(read, "ASKED_KEYS", many)
+    monkeypatch.setattr(read, "RANGE_KEYS", 20, raising=False)  # several ranges
+    names = [f"{i:06d}" for i in range(400)]
+    schema = "key string, ts timestamp, doc string, tombstone boolean, blob string"
+    rows = [(k, None, "", False, f"s{b:02d}") for b in range(40) for k in (names[0], names[b], names[b], names[-1])]
+    rows += [(None, None, "", False, f"s{b:02d}") for b in range(40)]  # a record without a key has no place
+    got = read.get_stats(spark.createDataFrame(rows, schema), keys(spark, *names))
+    seen = {r["key"]: tuple(r)[1:] for r in got.collect()}
+    want = {k: (0, 40, 0) for k in names} | {names[b]: (1, 39, 2) for b in range(1, 40)}
+    assert seen == want | {names[0]: (40, 0, 40), names[-1]: (40, 0, 40 * 4)}
+    # Whatever the operators make is within the log's and the asked keys' rows, not their product (16,000).
+    made = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
+        for metric in ("numOutputRows", "shuffleRecordsWritten"):
+            found = node.metrics().get(metric)
+            made.extend([found.get().value()] if found.isDefined() else [])
+        for child in [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+
+    walk(got._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= len(rows) + len(names)
+
+
 def test_membership(spark):
     many = spark.range(10_000).selectExpr("cast(id * 100 as string) as key")
     held = access.Membership.build(many)

@@ -40,12 +40,13 @@ def in_range(key: Column, start: str = "", end: str = "") -> Column:
     return out
 
 
-def place_in(value: Column, ascending: Column) -> Column:
-    """How many entries of an ascending array are at most `value`, by halving; arrays of fewer than 2**20 entries."""
+def place_in(value: Column, ascending: Column, *, below: bool = False) -> Column:
+    """How many entries of an ascending array are at most `value`, or below it, by halving; arrays of fewer than 2**20 entries."""
     steps = F.transform(F.sequence(F.lit(19), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
 
     def step(at: Column, width: Column) -> Column:
-        return F.when((at + width <= F.size(ascending)) & (F.get(ascending, at + width - 1) <= value), at + width).otherwise(at)
+        entry = F.get(ascending, at + width - 1)
+        return F.when((at + width <= F.size(ascending)) & (entry < value if below else entry <= value), at + width).otherwise(at)
 
     return F.aggregate(steps, F.lit(0), step)
 

@@ -99,17 +99,27 @@ def get_stats(log: DataFrame, keys: DataFrame, every: int = 8) -> DataFrame:
 
     A segment without the key is skipped by its filter. In the others reading begins at the last index entry below the
     key and ends at the key's first record. All records before that one are below the key, so how many these are tells
-    which entry that is: records are counted between the asked keys, by an aggregate that sends a row for each segment
-    and gap between asked keys, and nothing of the log is sorted.
+    which entry that is: records are counted, never sorted one by one.
+
+    No row is made for a key and a segment without it: the segments whose range holds a key are those that begin at it
+    or below, less those that end below it, and both are places in the sorted bounds of all segments (under 2**20).
     """
+    asked = keys.select("key").where("key is not null").distinct()
     array = asked_array(keys)
-    each = _counted(log, array) if array is not None else _ranked(log, keys)
+    held = log.where("blob is not null and key is not null").select("blob", "key")
+    found = _counted(held, array) if array is not None else _ranked(held)
     entry = F.when(F.col("at") > 1, F.floor((F.col("at") - 2) / every) * every + 1).otherwise(1)
-    scanned = F.when(F.col("at").isNotNull(), F.col("at") - entry + 1)
-    return each.groupBy("key").agg(
-        F.count("at").alias("blobs_fetched"),
-        (F.count("*") - F.count("at")).alias("blobs_skipped"),
-        F.coalesce(F.sum(scanned), F.lit(0)).cast("bigint").alias("records_scanned"),
+    cost = found.groupBy("key").agg(F.count("*").alias("fetched"), F.sum(F.col("at") - entry + 1).alias("scanned"))
+    zones = log.groupBy("blob").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    zones = zones.agg(F.array_sort(F.collect_list("lo")).alias("los"), F.array_sort(F.collect_list("hi")).alias("his"))
+    inside = place_in(F.col("key"), F.col("los")) - place_in(F.col("key"), F.col("his"), below=True)
+    asked = asked.crossJoin(F.broadcast(zones)).select("key", inside.cast("bigint").alias("inside")).where("inside > 0")  # one row
+    fetched = F.coalesce("fetched", F.lit(0))
+    return asked.join(cost, "key", "left").select(
+        "key",
+        fetched.cast("bigint").alias("blobs_fetched"),
+        (F.col("inside") - fetched).cast("bigint").alias("blobs_skipped"),
+        F.coalesce("scanned", F.lit(0)).cast("bigint").alias("records_scanned"),
     )
 
 
@@ -119,30 +129,42 @@ def scanned_totals(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("keys"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("total_scanned"), F.max(n).alias("max_scanned"), F.avg(n).alias("mean_scanned"))
 
 
-def _counted(log: DataFrame, array: DataFrame) -> DataFrame:
-    """blob, key, at: the place of a key's first record in each segment whose range holds it, null where it isn't."""
-    placed = log.select("blob", "key").crossJoin(F.broadcast(array)).withColumn("p", place_in(F.col("key"), F.col("asked")))  # one row
-    hit = F.coalesce(F.get("asked", F.col("p") - 1) == F.col("key"), F.lit(False))
-    gaps = placed.groupBy("blob", "p").agg(F.count("*").alias("n"), F.max(hit).alias("hit"), F.min("key").alias("lo"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("blob").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def _counted(held: DataFrame, array: DataFrame) -> DataFrame:
+    """key, at: the place of an asked key's first record in each segment that has it. Tasks send a row a segment and gap between asked keys."""
+    # Both places come from one projection: a later one would be handed the array with each row.
+    p, below = (place_in(F.col("key"), F.col("asked"), below=b) for b in (False, True))
+    placed = held.crossJoin(F.broadcast(array)).select("blob", "key", p.alias("p"), below.alias("below"))  # one row
+    hit = F.col("p") > F.col("below")
     # `hit` tells that the gap's key is there; its records are the gap's first.
-    gaps = gaps.withColumn("before", before)
-    found = F.when(F.col("hit"), F.struct("p", (F.col("before") + 1).alias("at")))
-    whole = gaps.groupBy("blob").agg(F.min("p").alias("first"), F.min("lo").alias("lo"), F.max("p").alias("last"), F.array_sort(F.collect_list(found)).alias("found"))
-    # The range of a segment holds the asked keys from its first key on, itself included, up to its last key.
-    whole = whole.crossJoin(F.broadcast(array)).withColumn("from", F.col("first") - F.coalesce(F.get("asked", F.col("first") - 1) == F.col("lo"), F.lit(False)).cast("int"))
-    inside = whole.where("last > from").select("blob", "asked", "found", F.explode(F.sequence(F.col("from") + 1, F.col("last"))).alias("p"))
-    at = F.get(F.filter("found", lambda x: x["p"] == F.col("p")), 0)["at"]
-    return inside.select("blob", F.get("asked", F.col("p") - 1).alias("key"), at.alias("at"))
-
-
-def _ranked(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """What _counted gives, for more keys than one array holds: by ranks of all records."""
-    asked = keys.select("key").distinct()
-    zone = log.groupBy("blob").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    candidate = asked.join(zone, F.col("key").between(F.col("lo"), F.col("hi"))).select("blob", "key")
-    first = positions(log).join(asked, "key", "left_semi").groupBy("blob", "key").agg(F.min("rn").alias("at"))
-    return candidate.join(first, ["blob", "key"], "left")
+    gaps = placed.groupBy("blob", "p").agg(F.count("*").alias("n"), F.max(hit).alias("hit"), F.min("key").alias("key"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("blob").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return gaps.withColumn("at", before + 1).where("hit").select("key", "at")
+
+
+#: Distinct keys, about, between two bounds of ranges.
+RANGE_KEYS = 10_000
+
+
+def _ranked(held: DataFrame) -> DataFrame:
+    """key, at: the place of each key's first record in each segment that has it, whether asked for or not.
+
+    Tasks send a row for each segment and key. These are summed up within ranges of keys, so that no segment comes to
+    one task, and a range's own start is the sum of a segment's ranges before it.
+    """
+    n_keys = held.agg(F.approx_count_distinct("key")).first()[0]
+    # Keys whose hash is low bound the ranges; which these are changes no result.
+    low = F.pmod(F.xxhash64("key"), F.lit(RANGE_KEYS)) == 0
+    bounds = held.where(low).distinct().agg(F.array_sort(F.collect_set("key")).alias("bounds")) if n_keys > RANGE_KEYS else None
+    counts = held.groupBy("blob", "key").agg(F.count("*").alias("n"))
+    if bounds is None:
+        counts = counts.withColumn("b", F.lit(0))
+    else:
+        counts = counts.crossJoin(F.broadcast(bounds)).select("blob", "key", "n", place_in(F.col("key"), F.col("bounds")).alias("b"))  # one row
+    up = Window.unboundedPreceding, -1
+    starts = counts.groupBy("blob", "b").agg(F.sum("n").alias("s"))
+    starts = starts.select("blob", "b", F.coalesce(F.sum("s").over(Window.partitionBy("blob").orderBy("b").rowsBetween(*up)), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("blob", "b").orderBy("key").rowsBetween(*up)), F.lit(0))
+    return counts.withColumn("within", within).join(starts, ["blob", "b"]).select("key", (F.col("start") + F.col("within") + 1).alias("at"))
 
 
 def scan_stats(log: DataFrame, is_memtable: Column, start: str = "", end: str = "") -> DataFrame:
