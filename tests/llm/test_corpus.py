@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, mixing, sharding, simhash, sketches
+from tidelog.llm import common, decontaminate, mixing, sharding, simhash, sketches
 from tidelog.llm.components import components
 
 from . import plain
@@ -192,6 +192,15 @@ def test_sharding(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+def test_driver_memory_is_given_back(spark, monkeypatch):
+    assert common.trimmed(spark)  # by the JVM's own command
+    calls = []
+    monkeypatch.setattr(common, "trimmed", calls.append)
+    for _ in range(2 * common.TIDY_EVERY):
+        common.written(spark.range(1), "tidy")
+    assert len(calls) == 2
+
+
 def test_sharding_against_brute_force(spark):
     """Small tables: as few documents are cut off from their groups as any placement under the same quotas allows."""
     for seed in range(4):

@@ -36,10 +36,15 @@ def propagated(blocks: DataFrame, n_shards: int, quota: list[int], rounds: int)
 
     blocks: the documents of each linked group by their first shard.
     """
-    cut = common.checkpointed(blocks.withColumn("dst", F.col("src")))
+
+    def held(cut: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+        """`cut` as a table and its documents by shard, by one job."""
+        cut, seen = common.measured(cut, "cut", *[F.sum(F.when(F.col("dst") == i, F.col("n"))).alias(f"n{i}") for i in range(n_shards)])
+        return cut, {i: seen[f"n{i}"] or 0 for i in range(n_shards)}
+
+    cut, load = held(blocks.withColumn("dst", F.col("src")))
     for _ in range(rounds):
         # Where most of the group is, among shards with room for the rest of it if there are any; then the lower shard.
-        load = {r["dst"]: r["n"] for r in cut.groupBy("dst").agg(F.sum("n").alias("n")).collect()}  # a row a shard
         rooms = F.array(*[F.lit(max(0, quota[i] - load.get(i, 0))).cast("long") for i in range(n_shards)])
         here = cut.groupBy("grp", "dst").agg(F.sum("n").alias("w"))
         here = here.join(here.groupBy("grp").agg(F.sum("w").alias("of")), "grp")
@@ -71,7 +76,7 @@ def propagated(blocks: DataFrame, n_shards: int, quota: list[int], rounds: int)
         moved = movers.withColumn("go", go)
         stay = moved.select("grp", "src", "dst", (F.col("n") - F.col("go")).alias("n"))
         gone = moved.select("grp", "src", F.col("goal").alias("dst"), F.col("go").alias("n"))
-        cut = common.checkpointed(stay.unionByName(gone).where("n > 0").groupBy("grp", "src", "dst").agg(F.sum("n").alias("n")))
+        cut, load = held(stay.unionByName(gone).where("n > 0").groupBy("grp", "src", "dst").agg(F.sum("n").alias("n")))
     return cut
 
 
