@@ -88,6 +88,47 @@ def test_planted_new_words(spark):
     assert kept(spark, rows) == brute_force(rows)
 
 
+def join_rows(spark, since):
+    """The rows of the largest join among the queries after `since`, and the last query's number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found, runs, last = 0, store.executionsList(), since
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        last = max(last, run)
+        if run > since:
+            values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if "Join" in node.name():
+                    ids = [m.accumulatorId() for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows"]
+                    found = max([found, *(int(values.apply(k).replace(",", "")) for k in ids if values.contains(k))])
+    return found, last
+
+
+def test_group_around_the_similarity(spark, monkeypatch):
+    """Copies of one text, most of them a little too far from each other: few of their pairs come out of any join."""
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    rng = random.Random(9)
+    words = [f"q{i}" for i in range(2000)]
+    base = " ".join(rng.choice(words) for _ in range(150))
+    rows = [(i + 1, edited(rng, base, 2 + i % 8, lambda k, i=i: f"own{i}x{k}")) for i in range(400)]
+    _, last = join_rows(spark, -1)
+    got = kept(spark, rows)
+    most, _ = join_rows(spark, last)
+    assert got == brute_force(rows)
+    assert 100 < len(got) < 400 and most < 20_000  # of 79,800 pairs
+
+
+def test_parities(spark):
+    """Two sets differ in as many shingles at least as in parities."""
+    rng = random.Random(10)
+    for _ in range(200):
+        a, b = ({rng.getrandbits(64) for _ in range(rng.randrange(1, 400))} for _ in range(2))
+        b |= set(rng.sample(sorted(a), len(a) * rng.randrange(5) // 4))
+        x, y = (simhash._parities(simhash.np.array(sorted(s), simhash.np.uint64)) for s in (a, b))
+        assert len(x) == simhash.PARITIES // 64 and simhash.np.bitwise_count((x ^ y).view(simhash.np.uint64)).sum() <= len(a ^ b)
+
+
 def test_repeated_and_missing_ids(spark):
     """A doc_id with two texts loses only the one that is a copy; rows without an id go as copies, too."""
     rng = random.Random(7)

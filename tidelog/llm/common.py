@@ -100,7 +100,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     _tidy(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() or measured() that nothing reads any more: what was made from them must be written, too."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def measured(df: DataFrame, what: str, *totals: Column) -> tuple[DataFrame, dict]:

@@ -31,7 +31,9 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        before = edges
         edges, now = _marked(small.where("a <> b").distinct())
+        common.discard(before)
         if now == mark:
             break
         mark = now

@@ -45,6 +45,10 @@ SAMPLED, FREQUENT = 16, 100_000
 #: Turns in which a node is compared with one other before all pairs of different components are: one at least, and as long
 #: as these pairs would be more than the rows that they come from, but so many at most.
 MAX_TURNS = 3
+#: Bits of a set's parities, a multiple of 64, by which pairs are left out that differ in too many shingles.
+PARITIES = 512
+#: Shingles that a pair must share at the beginning of its sets, where the prefixes hold so many. Only the work depends on it.
+MEETINGS = 4
 #: Rows of texts' keys, 80 bytes each at most, that are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -211,6 +215,15 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the shingles of each of PARITIES classes are odd in number, as longs.
+
+    Each shingle that one of two sets lacks turns one bit, so sets differ in as many shingles at least as in bits here.
+    """
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
@@ -252,50 +265,58 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
     is that of the hashes, with frequent shingles last, so that the shingles of a common passage hardly ever meet.
 
     Of the nodes that meet in a shingle one is the hub, another in each turn, and each node is compared with the hub that
-    it meets most; turns go on while the pairs left are more than the rows. After that all pairs of different components are compared that share enough of their
-    prefixes: what two sets share beyond the prefix that ends first is less than ceil(similarity * n). Of the nodes of a
-    shingle those of its largest component don't meet each other, so a large group of copies costs no square.
+    it meets most; turns go on while the pairs left are more than the rows. After that all pairs of different components
+    are compared that may reach the similarity by where and how often they meet first, as no more shingles than those from
+    there on are shared, and by the parities of their sets. Places and parities are asked in the join, so that a pair that
+    can't make it makes hardly any rows.
+    Of the nodes of a shingle those of its largest component don't meet each other, so a large group of copies costs no
+    square; what is left of one are pairs of different components whose resemblance is a little below the similarity.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size))
+    parities = [f"odd{i}" for i in range(PARITIES // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for b in batches:
-            nodes, prints, sizes, prefixes = [], [], [], []
+            nodes, prints, sizes, prefixes, odd = [], [], [], [], []
             for t in _texts(b, 2):
                 s = shingle_set(t, size)
                 nodes.append(_node(s))
                 prints.append(majority(s))
                 sizes.append(len(s))
+                odd.append(_parities(s))
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                     s = np.append(s[~last], s[last])
                 prefixes.append(s[: sizes[-1] - math.ceil(similarity * sizes[-1] - 1e-9) + 1].view(np.int64))
             uids = np.frombuffer(os.urandom(8 * len(nodes)), np.int64)
             arrays = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(uids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "uid", "n", "prefix"])
+            arrays += [pa.array(x) for x in np.array(odd, np.int64).reshape(-1, len(parities)).T]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "uid", "n", "prefix", *parities])
 
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_key")
-    rows = docs.select("doc_id", key, "text").mapInArrow(run, "doc_id long, text_key string, node long, fp long, uid long, n int, prefix array<long>")
+    rows = docs.select("doc_id", key, "text").mapInArrow(run, ", ".join(["doc_id long, text_key string, node long, fp long, uid long, n int, prefix array<long>", *[f"{p} long" for p in parities]]))
     rows = common.written(rows, "prefixes")
 
     # The fingerprints' links: each node with the first one of its fingerprint, and these with each other.
     once = F.struct(F.count(F.lit(1)).alias("c"), F.min("uid").alias("own"))
-    each = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), once.alias("rows"))  # a node has one fp and n
-    each = common.written(each, "nodes")
-    heads = common.written(each.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("h")).select("fp", "h.*"), "heads")
+    each = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", *parities)], once.alias("rows"))  # a node has one fp, n and set
+    nodes = common.written(each, "nodes")
+    heads = common.written(nodes.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("h")).select("fp", "h.*"), "heads")
     alike = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6
-    stars = each.join(heads.select("fp", F.col("node").alias("x"), F.col("n").alias("nx")), "fp").where("node <> x").select("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny"))
+    stars = nodes.join(heads.select("fp", F.col("node").alias("x"), F.col("n").alias("nx")), "fp").where("node <> x").select("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny"))
     linked = links(heads.select("fp"))
     linked = linked.join(heads.selectExpr("fp a", "node x", "n nx"), "a").join(heads.selectExpr("fp b", "node y", "n ny"), "b").select("x", "y", "nx", "ny")
     pairs = stars.unionByName(linked).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = common.written(pairs, "tried")
-    roots = common.written(components(_resembling(docs, rows, tried, similarity, size)), "roots")
+    found, _ = _resembling(docs, rows, tried, similarity, size)
+    roots = common.written(components(found), "roots")
+    common.discard(found, heads)
 
     # All rows of a node but one are left out; there are few, so prefixes needn't move for it.
-    again = each.where("rows.c > 1").select("node", "rows.own")
+    again = nodes.where("rows.c > 1").select("node", "rows.own")
     extra, seen = common.measured(rows.select("node", "uid").join(again, "node").where("uid <> own").select("node", "uid"), "extra", F.count(F.lit(1)).alias("n"))
     extra = F.broadcast(extra) if seen["n"] <= BROADCAST_ROWS else extra
     each = rows.join(extra, ["node", "uid"], "left_anti").select("node", "n", F.posexplode("prefix").alias("at", "h")).repartition("h")
@@ -303,49 +324,65 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, size: int = 5) -> t
     shared = each.groupBy("h").agg(F.count("*").alias("c"), F.max(F.struct("node", "n", "at")).alias("m")).where("c > 1").select("h")
     members = common.written(each.join(shared, "h"), "members")
 
-    def met(a: DataFrame) -> DataFrame:
-        """(x, y, c) of rows x, y, nx, ny, ax, ay, one for each of c shared shingles of the prefixes, that can reach the similarity."""
-        need = similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-6
-        after = 1 + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
-        counted = a.where(alike).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max(after).alias("after"))
-        beyond = F.ceil(similarity * F.greatest("nx", "ny") - 1e-9) - 1  # shared shingles beyond the prefix that ends first
-        return counted.where((F.col("after") >= need) & (F.col("c") + beyond >= need)).select("x", "y", "c")
-
+    share = similarity / (1 + similarity)  # of both sizes together, that must be shared
     for turn in range(MAX_TURNS + 1):
         named = members.select("h", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("h")
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "at", "root")).alias("hub")
         hubs = named.groupBy("h").agg(hub, F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h", "hub")
         left, seen = common.measured(named.join(hubs, "h"), "members-left", F.count(F.lit(1)).alias("n"))
+        common.discard(members)
+        members = left  # what meets its own component alone needs no more search
         if not seen["n"]:
             break
-        largest = left.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.sum("c").alias("m"), F.max("c").alias("c"))
+        largest = left.groupBy("h", "root").agg(F.count("*").alias("c"), F.min("n").alias("low")).groupBy("h")
+        largest = largest.agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.min("low").alias("low"), F.sum("c").alias("m"), F.max("c").alias("c"))
         largest, squares = common.measured(largest, "largest", F.sum(F.col("m").cast("double") * (F.col("m") - F.col("c"))).alias("n"))
         last = turn == MAX_TURNS or (turn >= 1 and squares["n"] <= seen["n"])
         if not last:
-            star = left.where("root <> hub.root").selectExpr("hub.node x", "node y", "hub.n nx", "n ny", "hub.at ax", "at ay")
-            pairs = met(star).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
+            star = left.where("root <> hub.root").selectExpr("hub.node x", "node y", "hub.n nx", "n ny", "hub.at ax", "at ay").where(alike)
+            need = share * (F.col("nx") + F.col("ny")) - 1e-6
+            counted = star.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max(F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))).alias("after"))
+            beyond = F.ceil(similarity * F.greatest("nx", "ny") - 1e-9) - 1  # shared shingles beyond the prefix that ends first
+            pairs = counted.where((F.col("after") >= need) & (F.col("c") + beyond >= need)).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
         else:
-            sided = common.written(left.drop("hub").join(largest.select("h", "major"), "h").withColumn("minor", F.col("root") != F.col("major")).drop("major"), "members-sided")
+            def place(m: Column, n: Column) -> tuple[Column, Column]:
+                """What must be left from a shared shingle on in both sets of m and n, and how many such are shared at least."""
+                need = F.ceil(share * (m + n) - 1e-6)
+                left_on = F.greatest(need - (MEETINGS - 1), F.ceil(similarity * F.greatest(m, n) - 1e-9))
+                return left_on, need - left_on + 1
+
+            # A row takes part if its place would do for the smallest set that it may be compared with.
+            first = left.drop("hub").join(largest.select("h", "major", "low"), "h")
+            first = first.where(F.col("n") - F.col("at") >= place(F.col("n"), F.greatest(F.col("low"), similarity * F.col("n")))[0])
+            sided = first.select("h", "node", "n", "at", "root", (F.col("root") != F.col("major")).alias("minor"))
+            sided = common.written(sided.join(nodes.select("node", *parities), "node"), "members-sided")
+            x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+            left_on, times = place(x("n"), y("n"))
+            turned = sum((F.bit_count(x(p).bitwiseXOR(y(p))) for p in parities), F.lit(0))
             both = sided.alias("x").join(sided.where("minor").alias("y"), "h").where("x.root <> y.root and (not x.minor or x.node < y.node)")
-            first = F.col("x.node") < F.col("y.node")
-            by = [(f"{c}{s}", F.when(first if s == "x" else ~first, F.col(f"x.{d}")).otherwise(F.col(f"y.{d}"))) for c, d in (("", "node"), ("n", "n"), ("a", "at")) for s in "xy"]
-            pairs = met(both.select(*[v.alias(k) for k, v in by]))
+            both = both.where(F.least(x("n") - x("at"), y("n") - y("at")) >= left_on)
+            both = both.where(F.least(x("n"), y("n")) >= similarity * F.greatest(x("n"), y("n")) - 1e-6).where(turned <= (1 - 2 * share) * (x("n") + y("n")) + 1e-6)
+            pairs = both.select(x("node").alias("x"), y("node").alias("y"), times.alias("times")).groupBy("x", "y", "times").count().where("count >= times")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        members = left.select("h", "node", "n", "at")  # what meets its own component alone needs no more search
         pairs, seen = common.measured(pairs, "pairs", F.count(F.lit(1)).alias("n"))
+        common.discard(largest, *([sided] if last else []))
         if seen["n"]:
-            found, seen = common.measured(_resembling(docs, rows, pairs, similarity, size), "found", F.count(F.lit(1)).alias("n"))
+            found, seen = _resembling(docs, rows, pairs, similarity, size)
             tried = tried.unionByName(pairs)
-        if seen["n"]:
-            # Components so far are stars, so the new links join them in a few rounds.
-            roots = common.written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "roots")
+            if seen["n"]:
+                # Components so far are stars, so the new links join them in a few rounds.
+                before = roots
+                roots = common.written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "roots")
+                common.discard(before)
+            common.discard(found)
         if last:
             break
+    common.discard(members)
     return rows.select("doc_id", "text_key", "node"), roots
 
 
-def _resembling(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(a, b): the pairs of nodes whose whole shingle sets reach the similarity."""
+def _resembling(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float, size: int) -> tuple[DataFrame, dict]:
+    """(a, b): the pairs of nodes whose whole shingle sets reach the similarity, as a table, and their number `n`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,15 +394,17 @@ def _resembling(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity:
     one = F.min(F.struct("text_key", F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("one")
     keys = rows.join(asked, "node", "left_semi").groupBy("node").agg(one).select(F.col("one.text_key").alias("__key"), F.col("one.id").alias("__id"))
     keys, seen = common.measured(keys, "keys", F.count(F.lit(1)).alias("n"))
-    keys = F.broadcast(keys) if seen["n"] <= BROADCAST_ROWS else keys
+    few = F.broadcast(keys) if seen["n"] <= BROADCAST_ROWS else keys
     texts = docs.select("text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__key"), F.coalesce("doc_id", F.lit(0)).alias("__id"))
-    sets = texts.join(keys, ["__key", "__id"], "left_semi").select("text").mapInArrow(run, "node long, s array<long>")
-    sets, have = common.measured(sets, "shingles", F.count(F.lit(1)).alias("n"))
-    if have["n"] > seen["n"]:  # rows that repeat
-        sets = sets.dropDuplicates(["node"])
+    sets = texts.join(few, ["__key", "__id"], "left_semi").select("text").mapInArrow(run, "node long, s array<long>")
+    table, have = common.measured(sets, "shingles", F.count(F.lit(1)).alias("n"))
+    sets = table.dropDuplicates(["node"]) if have["n"] > seen["n"] else table  # rows that repeat
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sx")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sy")), "b")
     same = F.size(F.array_intersect("sx", "sy"))
-    return both.where(same >= similarity * (F.size("sx") + F.size("sy") - same)).select("a", "b")
+    both = both.where(same >= similarity * (F.size("sx") + F.size("sy") - same)).select("a", "b")
+    found = common.measured(both, "found", F.count(F.lit(1)).alias("n"))
+    common.discard(keys, table)
+    return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
