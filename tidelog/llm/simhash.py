@@ -44,7 +44,7 @@ BROADCAST_BUCKETS = 500_000
 SAMPLED, FREQUENT = 16, 100_000
 #: Turns in which a node is compared with one other before all pairs of different components are: one at least, and as long
 #: as these pairs would be more than the rows that they come from, but so many at most.
-MAX_TURNS = 3
+MAX_TURNS = 1
 #: Bits of a set's parities, a multiple of 64, by which pairs are left out that differ in too many shingles.
 PARITIES = 512
 #: Shingles that a pair must share at the beginning of its sets, where the prefixes hold so many. Only the work depends on it.
